@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import bpe, mixing
+from sparkweft.llm import bpe, mixing, neardup
 from sparkweft.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_NEAR = {"threshold": 0.7, "shingle": 3, "least_words": 20}
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = neardup.similar_classes(read_table(spark, d, "chunks", ["id", "text"]), **_NEAR)
+    return neardup.similar_pairs(pairs, members).toDF("chunk_id_a", "chunk_id_b")
+
+
+@query("p2_groups")
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(read_table(spark, d, "chunks", ["id", "text"]), **_NEAR).withColumnRenamed("id", "chunk_id")
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", ["doc_id", "text"]))
