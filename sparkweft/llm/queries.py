@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import bpe, mixing, neardup
+from sparkweft.llm import bpe, credentials, mixing, neardup
 from sparkweft.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(read_table(spark, d, "chunks", ["id", "text"]))
+
+
+@query("p1_redacted")
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_texts(read_table(spark, d, "chunks", ["id", "text"]))
+
+
 _NEAR = {"threshold": 0.7, "shingle": 3, "least_words": 20}
 
 
