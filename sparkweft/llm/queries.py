@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import bpe, credentials, mixing, neardup
+from sparkweft.llm import bpe, credentials, mixing, neardup, pii
 from sparkweft.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,13 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, d, "documents"), read_table(spark, d, "mix_target"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_lines(read_table(spark, d, "documents", ["doc_id", "text"]), pii.known_names(read_table(spark, d, "name_ref")))
+
+
+@query("p10_texts")
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    return pii.anonymised(read_table(spark, d, "documents", ["doc_id", "text"]), pii.known_names(read_table(spark, d, "name_ref")))
