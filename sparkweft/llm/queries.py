@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import bpe, credentials, mixing, neardup, pii
+from sparkweft.llm import bpe, credentials, mixing, neardup, pii, provenance
 from sparkweft.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,22 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(read_table(spark, d, "chunks", ["id", "text"]), **_NEAR).withColumnRenamed("id", "chunk_id")
 
 
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks", ["id", "source_id", "path", "ordinal", "text"])
+    scans = read_table(spark, d, "file_facts", ["snapshot_no", "scanned_at", "path", "size_bytes"])
+    return provenance.file_origins(read_table(spark, d, "sources", ["id", "path", "abs_path"]), chunks, scans)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).where("origin <> 'hand-written'").select("path")
+
+
+@query("p3_origins")
+def p3_origins(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d)
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", ["doc_id", "text"]))
