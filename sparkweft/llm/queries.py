@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import bpe, credentials, mixing, neardup, pii, provenance
+from sparkweft.llm import bpe, credentials, distinctive, lookalike, mixing, neardup, pii, provenance, splitting
 from sparkweft.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,72 @@ def p3_origins(spark: SparkSession, d: str) -> DataFrame:
     return _origins(spark, d)
 
 
+_BLANK = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_HAN = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}]"
+
+
+@query(
+    "p4_found",
+    f"""
+    WITH t AS (SELECT DISTINCT id, regexp_replace(text, '{_BLANK}', '', 'g') AS solid FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+    c AS (SELECT id, length(solid) AS every, length(regexp_replace(solid, '{_HAN}', '', 'g')) AS other FROM t)
+    SELECT DISTINCT id AS chunk_id FROM c WHERE ceil((every - other) + other / 3.5) > 1400
+    """,
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(read_table(spark, d, "chunks", ["id", "start_line", "text"]))
+
+
+@query("p4_pieces")
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(read_table(spark, d, "chunks", ["id", "start_line", "text"]))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking(read_table(spark, d, "entities", ["id", "name"])).toDF("entity_id_a", "entity_id_b")
+
+
+@query("p5_names")
+def p5_names(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_texts(read_table(spark, d, "entities", ["id", "name", "norm_name"]).distinct(), "name", "norm_name")
+
+
+@query("p5_texts")
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_texts(read_table(spark, d, "chunks", ["id", "text"]), "text")
+
+
+@query(
+    "p7_found",
+    r"""
+    WITH c AS (SELECT id, max(text) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id),
+    w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS term FROM c),
+    t AS (SELECT id, term, count(*) AS tf FROM w GROUP BY id, term),
+    d AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM t GROUP BY term),
+    n AS (SELECT count(*) AS chunks FROM c), z AS (SELECT sum(tf) AS terms FROM t),
+    l AS (SELECT id, sum(tf) AS length FROM t WHERE id IN (SELECT chunk_id FROM term_probe) GROUP BY id),
+    s AS (SELECT id, term, tf, df, ctf, length, terms, chunks, tf * ln(chunks / df) AS v,
+                 ctf - tf AS b, length - tf AS c, terms - ctf - length + tf AS e
+          FROM t JOIN d USING (term) JOIN l USING (id), n, z),
+    g AS (SELECT *, 2 * (tf * ln(tf * terms / (ctf * length)) + CASE WHEN b > 0 THEN b * ln(b * terms / (ctf * (terms - length))) ELSE 0 END
+                       + CASE WHEN c > 0 THEN c * ln(c * terms / ((terms - ctf) * length)) ELSE 0 END
+                       + CASE WHEN e > 0 THEN e * ln(e * terms / ((terms - ctf) * (terms - length))) ELSE 0 END)
+                    * CASE WHEN tf * terms >= ctf * length THEN 1 ELSE -1 END AS llr FROM s)
+    SELECT id AS chunk_id, term FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(v, 9) DESC, round(llr, 9) DESC, term) AS k FROM g) WHERE k = 1
+    """,
+)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    scores = distinctive.term_scores(read_table(spark, d, "chunks", ["id", "text"]), read_table(spark, d, "term_probe"))
+    return distinctive.most_typical(scores)
+
+
+@query("p7_scores")
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.term_scores(read_table(spark, d, "chunks", ["id", "text"]))
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", ["doc_id", "text"]))
