@@ -10,8 +10,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--[\t\n\r  ؀-؅۝]]", regex.V1)
-_SPACE = regex.compile(r"[\p{Zs}\t⠀]")
+_INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--[\t\n\r\u0600-\u0605\u06dd]]", regex.V1)
+_SPACE = regex.compile(r"[\p{Zs}\t]")
 
 
 def skeletons(spark: SparkSession, letters: Iterable[str]) -> dict[str, str]:
