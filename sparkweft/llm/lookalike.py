@@ -129,7 +129,7 @@ def character_counts(texts: DataFrame, *columns: str) -> dict[str, int]:
                     if t and not t.isascii():
                         for c in regex.sub(r"[\x20-\x7e\n\r]", "", unicodedata.normalize("NFD", t)):
                             counts[c] = counts.get(c, 0) + 1
-            yield pd.DataFrame({"c": list(counts), "n": list(counts.values())})
+            yield pd.DataFrame(list(counts.items()), columns=["c", "n"])
 
     rows = texts.select(*columns).mapInPandas(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
     return {r.c: r.n for r in rows.collect()}
