@@ -199,7 +199,7 @@ def communities_exact(nodes: DataFrame, relations: DataFrame) -> DataFrame:
         import pandas as pd
 
         label = propagate_labels(sorted({*pdf.src_id, *pdf.dst_id}), list(zip(pdf.src_id, pdf.dst_id, pdf.weight)))
-        return pd.DataFrame({"id": list(label), "label": list(label.values())})
+        return pd.DataFrame(list(label.items()), columns=["id", "label"])
 
     found = grouped.select("component", "src_id", "dst_id", "weight").groupBy("component").applyInPandas(run, "id long, label long")
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
