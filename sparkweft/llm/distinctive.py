@@ -14,6 +14,9 @@ from sparkweft.sources.tables import written
 
 _TERM = re.compile(r"[^\W_]{3,}")
 _SLICE, _HELD = 512, 150_000
+#: Terms that one chunk in so many holds are joined by broadcast, others by a shuffle without hot keys. As each chunk
+#: counts once for each of its terms, there are at most so many times the mean number of terms of a chunk.
+_FREQUENT = 1000
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -103,17 +106,19 @@ def term_scores(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
     ``score`` is the log-likelihood ratio, ``tf_idf`` is tf · ln(N / df). The statistics always cover all chunks; with
     ``only`` (a column ``chunk_id``) just those chunks are scored. Chunks count once per id (rows that repeat one share its
-    weight, of different texts each counts in part); null and empty texts count as chunks without terms; a null id
+    weight; of different texts under one id each counts in part, and the greatest is scored); null and empty texts count as chunks without terms; a null id
     doesn't count; extra columns are ignored; an empty table gives no rows.
     """
     stats, totals = term_statistics(chunks)
     rows = chunks.select("id", "text")
     if only is not None:
         rows = rows.join(only.select(F.col("chunk_id").cast("long").alias("id")).distinct(), "id", "left_semi")
-    pairs = chunk_terms(rows).groupBy("chunk_id", "term").agg(F.max("tf").alias("tf"), F.max("length").alias("length"))
+    pairs = written(chunk_terms(rows.where("text IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))), "pairs")
     total = totals.first()
     n, terms = (total["chunks"], total["terms"]) if total else (0, 0)
-    scored = pairs.join(stats, "term")
+    frequent = F.col("df") >= n / _FREQUENT
+    common = stats.where(frequent)
+    scored = pairs.join(F.broadcast(common), "term").unionByName(pairs.join(F.broadcast(common.select("term")), "term", "left_anti").join(stats.where(~frequent), "term"))
     score = likelihood_ratio(F.col("tf").cast("double"), F.col("length").cast("double"), F.col("ctf").cast("double"), F.lit(float(terms)))
     return scored.select("chunk_id", "term", "tf", "df", score.alias("score"), (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("tf_idf"))
 
