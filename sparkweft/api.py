@@ -20,8 +20,8 @@ MAX_IMPORT = 50 * 1024 * 1024
 
 
 class GraphEngine:
-    def __init__(self, spark: SparkSession, base_dir: str, completer: extraction.Completer | None = None, least_confidence: float = 0.6, recompute_share: float = 0.05):
-        self.spark, self.base, self.completer = spark, Path(base_dir), completer
+    def __init__(self, spark: SparkSession, base_dir: str, completer: extraction.Completer | None = None, vision=None, least_confidence: float = 0.6, recompute_share: float = 0.05):
+        self.spark, self.base, self.completer, self.vision = spark, Path(base_dir), completer, vision
         self.least = min(max(least_confidence, 0.1), 1.0)
         self.recompute_share = min(max(recompute_share, 0.0), 1.0)
         self.registry = Registry(base_dir)
@@ -120,6 +120,7 @@ class GraphEngine:
         if self.completer is None:
             raise EngineError("LLM_UNAVAILABLE", "no completer")
         started = datetime.now(timezone.utc)
+        self.spark.sparkContext.setJobGroup(f"index-{base.id}", f"index {base.name}", interruptOnCancel=True)
         found, known = self._scan(base, store, roots)
         found = self._keyed(found)
         facts = checkpointed(found.drop("content"))
@@ -128,7 +129,7 @@ class GraphEngine:
         gone = diff.where("change = 'removed'").select("path")
         unfinished = self._keyed(known).where("state NOT IN ('merged', 'deleted', 'disabled')").join(facts.select("path"), "path", "left_semi").select("path")
         dirty = checkpointed(diff.where("change <> 'removed'").select("path").union(unfinished).distinct())
-        texts = checkpointed(documents.text_of_file(found.join(dirty, "path", "left_semi")))
+        texts = checkpointed(documents.text_of_file(found.join(dirty, "path", "left_semi"), self.vision))
         chunks = written(chunking.chunk_documents(texts.where("text IS NOT NULL"), "path"), "chunks")
         asked = extraction.complete_chunks(chunks.select(F.struct("path", "ordinal").alias("key"), "path", "text").withColumn("id", F.xxhash64("key")), self.completer)
         keys = chunks.select(F.xxhash64(F.struct("path", "ordinal")).alias("chunk_id"), "path", "ordinal")
@@ -146,6 +147,10 @@ class GraphEngine:
         self.registry.update(base.id, last_indexed_at=now())
         return {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
 
+    def cancel(self, kb: str | None = None) -> None:
+        """Ends a run of another thread; what was committed before it stays."""
+        self.spark.sparkContext.cancelJobGroup(f"index-{self.registry.resolve(kb).id}")
+
     def derive(self, kb: KnowledgeBase, store: TableStore) -> None:
         """The graph tables from the facts: entities, mentions, relations, evidence, degrees, communities and summaries."""
         sources = numbered(store.read("sources").distinct(), ["path"])

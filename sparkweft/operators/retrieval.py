@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,6 +104,42 @@ def rank_summaries(summaries: DataFrame, questions: DataFrame, top: int = 5, fol
     return scored if few else scored.where(F.col("rank") <= top)
 
 
+def score_summaries(summaries: list[str], question: str, terms: list[str], scorer: Callable[[str, list[str]], list[float]], batch: int = 10) -> list[float]:
+    """Scores of the summaries of one question by a model, ten at a time, each held between 0 and 10. A batch whose answer
+    fails or doesn't fit is scored by the terms it contains."""
+    out: list[float] = []
+    for at in range(0, len(summaries), batch):
+        part = summaries[at : at + batch]
+        try:
+            got = [min(10.0, max(0.0, float(x))) for x in scorer(question, part)]
+        except Exception:  # noqa: BLE001 - a search must not fail with its scorer
+            got = []
+        out += got if len(got) == len(part) else [float(sum(t in s.lower() for t in terms)) for s in part]
+    return out
+
+
+def rank_summaries_by_model(summaries: DataFrame, questions: DataFrame, scorer: Callable[[str, list[str]], list[float]], top: int = 5) -> DataFrame:
+    """``(qid, community_id, score, rank)`` by a model; with eight summaries or fewer all are taken without asking it.
+
+    Communities are scored in groups of ten where they are, so their number isn't bounded by the driver."""
+    import pandas as pd
+
+    if summaries.limit(9).count() <= 8:
+        return rank_summaries(summaries, questions, top)
+    asked = [(r.qid, r.question, list(r.terms)) for r in questions.select("qid", "question", extract_terms(F.col("question")).alias("terms")).toLocalIterator()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for qid, question, terms in asked:
+                scores = score_summaries([s or "" for s in pdf["summary"]], question, terms, scorer)
+                rows += [(qid, c, s) for c, s in zip(pdf["community_id"], scores)]
+            yield pd.DataFrame(rows, columns=["qid", "community_id", "score"])
+
+    scored = summaries.select("community_id", "summary").mapInPandas(run, "qid long, community_id long, score double")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "community_id"))).where(F.col("rank") <= top)
+
+
 def global_search(tables: dict[str, DataFrame], summaries: DataFrame, questions: DataFrame, top: int = 5, members: int = 12, budget: int = 6000) -> dict[str, DataFrame]:
     """Evidence for broad questions: the best communities, up to twelve of their members, a chunk of each within a budget."""
     picked = rank_summaries(summaries, questions, top)

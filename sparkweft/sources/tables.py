@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """``base_dir/name.parquet`` with only ``columns`` (all if None)."""
     df = spark.read.parquet(f"{base_dir}/{name}.parquet")
@@ -36,8 +39,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as parquet into the shared folder and read back (columnar, so later scans prune columns)."""
+    """``df`` written once as parquet into the shared folder and read back (columnar, so later scans prune columns).
+
+    The folder stays until ``clear_written``, because the result is lazy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkweft-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Removes the folders that ``written`` made in this process, once nothing that reads them is run any more."""
+    jvm, n = spark._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -72,3 +72,17 @@ def test_measures(spark):
     assert spark.range(1).select(metrics.percentile(F.array(*map(F.lit, [5, 1, 4, 2])), 50)).first()[0] == 4
     good = {"entity_hit": 1.0, "relation_recall": 1.0, "coverage": 0.9, "precision": 0.9, "recall": 0.8}
     assert metrics.gates({**good, "coverage": 0.8}, good) == {"local": True, "global": True, "traversal": True}
+
+
+def test_model_scores_fall_back_per_batch(spark):
+    def model(question, part):
+        if "s3" in part:
+            raise ValueError
+        return [99, -1, 4][: len(part)] if len(part) == 3 else [1]
+
+    assert retrieval.score_summaries(["a", "b", "c", "s3", "s4 cache", "x", "y"], "cache", ["cache"], model, 3) == [10.0, 0.0, 4.0, 0.0, 1.0, 0.0, 1.0]
+    summaries = spark.createDataFrame([(n, "cache" if n == 7 else "other") for n in range(12)], "community_id long, summary string").coalesce(1)
+    asked = spark.createDataFrame([(1, "cache")], "qid long, question string")
+    got = retrieval.rank_summaries_by_model(summaries, asked, lambda q, part: [5.0 if "cache" in s else 1.0 for s in part], 2)
+    assert [(r.community_id, r.rank) for r in got.orderBy("rank").collect()] == [(7, 1), (0, 2)]
+    assert [r.community_id for r in retrieval.rank_summaries(summaries, asked, 1).collect()] == [7]
