@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkweft.functions.text import estimate_tokens, extract_terms, norm_name, terms_contained
+from sparkweft.functions.text import estimate_tokens, extract_terms, norm_name
 from sparkweft.operators import graph, lexical
 
 
@@ -96,10 +96,13 @@ def rank_summaries(summaries: DataFrame, questions: DataFrame, top: int = 5, fol
     """``(qid, community_id, score, rank)``: communities by how many terms of a question their summary contains; all of
     them if there are at most eight. ``fold`` also lower-cases terms of mixed scripts, which are kept as written otherwise."""
     asked = lexical.question_terms(questions)
-    lowered = summaries.select(F.col("community_id").alias("id"), F.lower("summary").alias("text"))
-    terms = asked.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    few = summaries.limit(9).count() <= 8
-    scored = lowered.join(terms, F.lit(True)).select("qid", F.col("id").alias("community_id"), terms_contained(F.col("text"), F.col("terms"), fold).alias("score"))
+    matching = asked.withColumn("term", F.lower("term")).distinct() if fold else asked.where(F.col("term") == F.lower("term"))
+    hits = lexical.term_hits(summaries.select(F.col("community_id").alias("id"), F.col("summary").alias("text")), matching)
+    scored = matching.join(hits, "term").groupBy("qid", F.col("id").alias("community_id")).agg(F.count("*").cast("int").alias("score"))
+    first = [r[0] for r in summaries.select("community_id").distinct().orderBy("community_id").limit(max(top, 8) + 1).collect()]
+    few = len(first) <= 8  # else the first ids are enough to fill up with, whichever communities were found
+    fill = asked.select("qid").distinct().select("qid", F.explode(F.array(*map(F.lit, first)).cast("array<long>")).alias("community_id"), F.lit(0).alias("score"))
+    scored = scored.unionByName(fill).groupBy("qid", "community_id").agg(F.max("score").alias("score"))
     scored = scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "community_id")))
     return scored if few else scored.where(F.col("rank") <= top)
 

@@ -27,6 +27,11 @@ def test_hidden_texts_count_but_arent_shown(spark):
     assert [r.id for r in got.collect()] == [1]
 
 
+def test_spellings_of_a_term_count_each(spark):
+    table = spark.createDataFrame([(1, "x图谱 here"), (2, "nothing")], "id long, text string")
+    assert rows(lexical.count_terms(table, ["X图谱", "x图谱"])) == [(1, "X图谱", 1), (1, "x图谱", 1)]
+
+
 def test_token_budget_stops_at_the_first_overflow(spark):
     df = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (1, 3, 9), (1, 4, 1)], "g long, n long, cost long")
     assert [r.n for r in retrieval.within_budget(df, "g", [F.col("n")], "cost", 8).collect()] == [1, 2]
