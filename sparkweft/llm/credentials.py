@@ -233,7 +233,10 @@ def find_secrets(text: str | None) -> list[Secret]:
 
 def redact(text: str | None) -> str | None:
     """The text with each secret's content replaced; quotes, escapes, line ends and everything around stay."""
-    secrets = find_secrets(text)
+    return _replaced(text, find_secrets(text))
+
+
+def _replaced(text: str | None, secrets: list[Secret]) -> str | None:
     if not secrets:
         return text
     out, at = [], 0
@@ -288,7 +291,8 @@ def redacted_texts(chunks: DataFrame, text: str = "text") -> DataFrame:
     def run(texts):
         import pandas as pd
 
-        rows = [(redact(t), len(find_secrets(t))) for t in texts]
+        found = [(t, find_secrets(t)) for t in texts]
+        rows = [(_replaced(t, secrets), len(secrets)) for t, secrets in found]
         return pd.DataFrame(rows, columns=["redacted", "n"])
 
     rest = [chunks[c] for c in chunks.columns if c not in (text, "n_secrets")]
