@@ -29,8 +29,10 @@ def canonical_listing(listing: DataFrame) -> DataFrame:
 def snapshot_changes(listing: DataFrame) -> DataFrame:
     """``(snapshot_no, path, change)`` of every snapshot against the one numbered one less.
 
-    Identical rows are removed by EXCEPT ALL both ways; only the residues are full-joined by key, so the join sees
-    what differs rather than two whole snapshots. ``change`` is ``added``, ``removed`` or ``changed``.
+    Identical rows are removed by EXCEPT ALL both ways, which is one aggregation here: every row counts +1 as it is and -1
+    as the predecessor of the next snapshot, so the table is read and shuffled once; what is left above zero is what only
+    the later snapshot has, below zero what only the earlier one has. The residues are full-joined by key, so the join
+    sees what differs rather than two whole snapshots. ``change`` is ``added``, ``removed`` or ``changed``.
 
     Defined cases: a null hash on either side is no change; a snapshot whose predecessor is missing yields no rows, nor
     does the first; an empty table yields none; repeated rows count once. Extra columns are ignored. Keys are
@@ -39,9 +41,10 @@ def snapshot_changes(listing: DataFrame) -> DataFrame:
     now = canonical_listing(listing)
     numbers = listing.select(F.col("snapshot_no").cast("int").alias("snapshot_no")).where("snapshot_no IS NOT NULL").distinct()
     consecutive = numbers.join(numbers.select((F.col("snapshot_no") + 1).alias("snapshot_no")), "snapshot_no", "left_semi")
-    before = now.withColumn("snapshot_no", F.col("snapshot_no") + 1)
-    now, before = (x.join(consecutive, "snapshot_no", "left_semi").select("snapshot_no", "path", "content_hash") for x in (now, before))
-    fresh, stale = now.exceptAll(before), before.exceptAll(now)
+    roles = F.explode(F.array(F.struct(F.lit(0).alias("later"), F.lit(1).alias("sign")), F.struct(F.lit(1).alias("later"), F.lit(-1).alias("sign"))))
+    signed = now.select("snapshot_no", "path", "content_hash", roles.alias("r")).select((F.col("snapshot_no") + F.col("r.later")).alias("snapshot_no"), "path", "content_hash", "r.sign")
+    differ = signed.join(consecutive, "snapshot_no", "left_semi").groupBy("snapshot_no", "path", "content_hash").agg(F.sum("sign").alias("surplus"))
+    fresh, stale = differ.where("surplus > 0").drop("surplus"), differ.where("surplus < 0").drop("surplus")
     a = fresh.withColumn("here", F.lit(True))
     b = stale.withColumnRenamed("content_hash", "old_hash").withColumn("there", F.lit(True))
     change = F.when(F.col("there").isNull(), "added").when(F.col("here").isNull(), "removed").when(F.col("content_hash") != F.col("old_hash"), "changed")
