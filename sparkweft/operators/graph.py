@@ -147,16 +147,17 @@ def personalized_pagerank(nodes: DataFrame, relations: DataFrame, seeds: DataFra
     start = seeds.groupBy("id").agg((F.sum("weight") / F.lit(float(mass))).alias("jump"))
     rank = nodes.select("id").distinct().join(start, "id", "left").join(step.select(F.col("node").alias("id")).distinct().withColumn("linked", F.lit(True)), "id", "left")
     rank = checkpointed(rank.select("id", F.coalesce("jump", F.lit(0.0)).alias("jump"), F.col("linked").isNotNull().alias("linked"), F.coalesce("jump", F.lit(0.0)).alias("score")))
-    n = rank.count()
+    n, idle, lost = rank.agg(F.count("*"), F.count_if(~F.col("linked")), F.sum(F.when(~F.col("linked"), F.col("jump")))).first()
+    home = lost = lost or 0.0  # what the nodes without edges hold; nothing flows to them, so it follows by itself
     for k in range(1, iterations + 1):
-        lost = rank.where("NOT linked").agg(F.sum("score")).first()[0] or 0.0
         moved = step.join(rank.select(F.col("id").alias("node"), "score"), "node").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        score = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)) + (1 - damping) * F.col("jump")
+        score = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / max(n, 1))) + (1 - damping) * F.col("jump")
+        lost = idle * damping * lost / max(n, 1) + (1 - damping) * home
         after = rank.withColumnRenamed("score", "before").join(moved, "id", "left").select("id", "jump", "linked", "before", score.alias("score"))
         if tolerance is not None or k % keep_every == 0 or k == iterations:
             after = checkpointed(after)
         rank = after.select("id", "jump", "linked", "score")
-        if tolerance is not None and after.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
+        if tolerance is not None and (after.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < tolerance:
             break
     return rank.select("id", "score")
 

@@ -250,12 +250,12 @@ def _(spark, d):
     """,
 )
 def _(spark, d):
-    return chunking.document_blocks(read_table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
+    return chunking.document_blocks(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), "doc_id")
 
 
 @query("chunk_documents")
 def _(spark, d):
-    return chunking.chunk_documents(read_table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
+    return chunking.chunk_documents(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), "doc_id")
 
 
 @query(

@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[str] = []
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """``base_dir/name.parquet`` with only ``columns`` (all if None)."""
+def read_table(spark: SparkSession, base_dir: str, name: str, columns: list[str] | None = None, spread: bool = False) -> DataFrame:
+    """``base_dir/name.parquet`` with only ``columns`` (all if None).
+
+    With ``spread`` a table in fewer pieces than there are cores is dealt out to all of them, for work in Python that a
+    single row group would otherwise give to one task. Larger tables have pieces enough and aren't touched.
+    """
     df = spark.read.parquet(f"{base_dir}/{name}.parquet")
-    return df if columns is None else df.select(*columns)
+    df = df if columns is None else df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
