@@ -27,12 +27,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.credential_lines(read_table(spark, d, "chunks", ["id", "text"]))
+    return credentials.credential_lines(read_table(spark, d, "chunks", ["id", "text"], spread=True))
 
 
 @query("p1_redacted")
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.redacted_texts(read_table(spark, d, "chunks", ["id", "text"]))
+    return credentials.redacted_texts(read_table(spark, d, "chunks", ["id", "text"], spread=True))
 
 
 _NEAR = {"threshold": 0.7, "shingle": 3, "least_words": 20}
@@ -40,17 +40,17 @@ _NEAR = {"threshold": 0.7, "shingle": 3, "least_words": 20}
 
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, members = neardup.similar_classes(read_table(spark, d, "chunks", ["id", "text"]), **_NEAR)
+    pairs, members = neardup.similar_classes(read_table(spark, d, "chunks", ["id", "text"], spread=True), **_NEAR)
     return neardup.similar_pairs(pairs, members).toDF("chunk_id_a", "chunk_id_b")
 
 
 @query("p2_groups")
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_groups(read_table(spark, d, "chunks", ["id", "text"]), **_NEAR).withColumnRenamed("id", "chunk_id")
+    return neardup.similar_groups(read_table(spark, d, "chunks", ["id", "text"], spread=True), **_NEAR).withColumnRenamed("id", "chunk_id")
 
 
 def _origins(spark: SparkSession, d: str) -> DataFrame:
-    chunks = read_table(spark, d, "chunks", ["id", "source_id", "path", "ordinal", "text"])
+    chunks = read_table(spark, d, "chunks", ["id", "source_id", "path", "ordinal", "text"], spread=True)
     scans = read_table(spark, d, "file_facts", ["snapshot_no", "scanned_at", "path", "size_bytes"])
     return provenance.file_origins(read_table(spark, d, "sources", ["id", "path", "abs_path"]), chunks, scans)
 
@@ -78,12 +78,12 @@ _HAN = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}]"
     """,
 )
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(read_table(spark, d, "chunks", ["id", "start_line", "text"]))
+    return splitting.oversized(read_table(spark, d, "chunks", ["id", "start_line", "text"], spread=True))
 
 
 @query("p4_pieces")
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(read_table(spark, d, "chunks", ["id", "start_line", "text"]))
+    return splitting.split_oversized(read_table(spark, d, "chunks", ["id", "start_line", "text"], spread=True))
 
 
 @query("p5_found")
@@ -98,7 +98,7 @@ def p5_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p5_texts")
 def p5_texts(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.canonical_texts(read_table(spark, d, "chunks", ["id", "text"]), "text")
+    return lookalike.canonical_texts(read_table(spark, d, "chunks", ["id", "text"], spread=True), "text")
 
 
 @query(
@@ -122,35 +122,35 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    scores = distinctive.term_scores(read_table(spark, d, "chunks", ["id", "text"]), read_table(spark, d, "term_probe"))
+    scores = distinctive.term_scores(read_table(spark, d, "chunks", ["id", "text"], spread=True), read_table(spark, d, "term_probe"))
     return distinctive.most_typical(scores)
 
 
 @query("p7_scores")
 def p7_scores(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.term_scores(read_table(spark, d, "chunks", ["id", "text"]))
+    return distinctive.term_scores(read_table(spark, d, "chunks", ["id", "text"], spread=True))
 
 
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_corpus(read_table(spark, d, "documents", ["doc_id", "text"]))
+    return bpe.encode_corpus(read_table(spark, d, "documents", ["doc_id", "text"], spread=True))
 
 
 @query("p9_mix")
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_target"))
+    return mixing.mix_sources(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_target"))
 
 
 @query("p9_shares")
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(read_table(spark, d, "documents"), read_table(spark, d, "mix_target"))
+    return mixing.mix_report(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_target"))
 
 
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.personal_lines(read_table(spark, d, "documents", ["doc_id", "text"]), pii.known_names(read_table(spark, d, "name_ref")))
+    return pii.personal_lines(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), pii.known_names(read_table(spark, d, "name_ref")))
 
 
 @query("p10_texts")
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
-    return pii.anonymised(read_table(spark, d, "documents", ["doc_id", "text"]), pii.known_names(read_table(spark, d, "name_ref")))
+    return pii.anonymised(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), pii.known_names(read_table(spark, d, "name_ref")))
