@@ -98,11 +98,11 @@ def halves(text: str) -> list[str]:
 
 
 def occurrences(text: Column, name: Column) -> Column:
-    """Offsets of all occurrences of a name in a text that don't overlap, without regard to case.
+    """Offsets of all occurrences of a name in a text, both lower-cased, that don't overlap.
 
     The text between them is what splitting by the name leaves, so offsets are running sums of lengths; no Python.
     """
-    parts = F.call_function("split", F.lower(text), F.concat(F.lit("\\Q"), F.replace(F.lower(name), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
+    parts = F.call_function("split", text, F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
     walked = F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p) + F.length(name)).alias("at"), F.concat(a["found"], F.array(a["at"] + F.length(p))).alias("found")))
     return F.slice(walked["found"], 1, F.size(parts) - 1)
@@ -110,9 +110,9 @@ def occurrences(text: Column, name: Column) -> Column:
 
 def compute_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """``(chunk_id, entity_id, span_start, span_end)``: every occurrence in a chunk's text of the names ``(chunk_id,
-    entity_id, name)`` found in that chunk."""
-    texts = chunks.select(F.col("id").alias("chunk_id"), "text").where("text IS NOT NULL").dropDuplicates(["chunk_id"])
-    rows = names.where("length(name) > 0").distinct().join(texts, "chunk_id")
+    entity_id, name)`` found in that chunk. Each text is lower-cased once, before it meets its names."""
+    texts = chunks.select(F.col("id").alias("chunk_id"), F.lower("text").alias("text")).where("text IS NOT NULL").dropDuplicates(["chunk_id"])
+    rows = names.select("chunk_id", "entity_id", F.lower("name").alias("name")).where("length(name) > 0").distinct().join(texts, "chunk_id")
     spans = rows.select("chunk_id", "entity_id", "name", F.explode(occurrences(F.col("text"), F.col("name"))).alias("span_start"))
     return spans.select("chunk_id", "entity_id", "span_start", (F.col("span_start") + F.length("name")).alias("span_end"))
 

@@ -101,6 +101,13 @@ def shown_chunks(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.join(sources.where("state = 'disabled'").select(F.col("id").alias("source_id")).distinct(), "source_id", "left_anti")
 
 
+def searchable_texts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(id, text, shown)`` of the chunks that have a text, once per id; those of disabled sources aren't shown."""
+    hidden = sources.where("state = 'disabled'").select(F.col("id").alias("source_id"), F.lit(False).alias("shown")).distinct()
+    rows = chunks.select("id", "source_id", "text").where("text IS NOT NULL").dropDuplicates(["id"]).join(hidden, "source_id", "left")
+    return rows.select("id", "text", F.coalesce("shown", F.lit(True)).alias("shown"))
+
+
 def chunks_for_entities(mentions: DataFrame, shown: DataFrame, limit: int = 2) -> DataFrame:
     """``(entity_id, chunk_id, position)``: the chunks of the first ``limit`` mentions of each entity, counting only shown
     chunks; several mentions in one chunk use up the limit but yield it once."""

@@ -72,7 +72,7 @@ def local_search(tables: dict[str, DataFrame], questions: DataFrame, seed_limit:
     chunk_limit = min(max(chunk_limit, 3), 50)
     shown = graph.shown_chunks(tables["chunks"].where("text IS NOT NULL").dropDuplicates(["id"]), tables["sources"])
     entities, mentions, relations = (graph.once(tables[t]) for t in ("entities", "mentions", "relations"))
-    texts = tables["chunks"].where("text IS NOT NULL").dropDuplicates(["id"]).join(shown.select("id", F.lit(True).alias("shown")), "id", "left").select("id", "text", F.coalesce("shown", F.lit(False)).alias("shown"))
+    texts = graph.searchable_texts(tables["chunks"], tables["sources"])
     chunk_hits = lexical.bm25(texts, questions, max(8, chunk_limit))
     entity_hits = lexical.bm25(entities.select("id", F.col("name").alias("text"), F.lit(True).alias("shown")), questions, seed_limit)
     seeds = build_seeds(entity_hits, chunk_hits.where("rank <= 8"), mentions, seed_limit)

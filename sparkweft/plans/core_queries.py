@@ -398,8 +398,7 @@ _NAME_TEXTS = f"(SELECT id, name AS text, TRUE AS shown FROM {ENTITY} WHERE name
 
 
 def _chunk_texts(spark, d):
-    shown = _shown(spark, d).select("id", F.lit(True).alias("shown"))
-    return _chunks(spark, d, "id", "text").where("text IS NOT NULL").join(shown, "id", "left").select("id", "text", F.coalesce("shown", F.lit(False)).alias("shown"))
+    return graph.searchable_texts(read_table(spark, d, "chunks", ["id", "source_id", "text"]), _sources(spark, d))
 
 
 def _name_texts(spark, d):
