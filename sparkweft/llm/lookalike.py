@@ -176,18 +176,26 @@ def _machine(form: dict[str, str]) -> Classes:
     return _MACHINES[key]
 
 
-def same_looking(entities: DataFrame, key: str = "id", name: str = "name", expand: int = 64) -> DataFrame:
+_SALT_ROWS = 1024
+
+
+def same_looking(entities: DataFrame, key: str = "id", name: str = "name", expand: int | None = 64) -> DataFrame:
     """``(a, b)``, a < b: pairs of rows whose names look the same although their characters differ.
 
-    Names are first reduced to distinct spellings, so rows with one spelling meet as one; a spelling of more than
-    ``expand`` rows is stood for by its least id. Null and empty names and rows without a key have no partner; repeated
-    rows count once; other columns are ignored.
+    Names are first reduced to distinct spellings, so rows with one spelling are brought to their form as one. With
+    ``expand`` None every pair is written, and the rows of a frequent form are dealt out over several keys of the join.
+    Otherwise the result is an abridged one: a spelling of more than ``expand`` rows is stood for by its least id, and
+    its other rows don't occur. Null and empty names and rows without a key have no partner; repeated rows count once;
+    other columns are ignored.
     """
     rows = entities.select(entities[key].cast("long").alias("id"), entities[name].alias("name")).where("id IS NOT NULL AND name <> ''").distinct()
     spelled = rows.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     forms = canonical_texts(spelled.withColumn("form", F.col("name")), "form", classes=look_alike_classes(spelled, "name"))
-    several = forms.groupBy("form").agg(F.count("*").alias("spellings")).where("spellings > 1").select("form")
-    forms = forms.join(several, "form", "left_semi")
-    members = rows.join(forms, "name").where((F.col("n") <= expand) | (F.col("id") == F.col("first"))).select("id", "name", "form")
-    x, y = members.toDF("x", "name_x", "form"), members.toDF("y", "name_y", "form")
-    return x.join(y, "form").where("x < y AND name_x <> name_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    several = forms.groupBy("form").agg(F.count("*").alias("spellings"), F.sum("n").alias("rows")).where("spellings > 1")
+    forms = forms.join(several.select("form", F.ceil(F.col("rows") / _SALT_ROWS).cast("int").alias("salts")), "form")
+    members = rows.join(forms, "name")
+    if expand is not None:
+        members = members.where((F.col("n") <= expand) | (F.col("id") == F.col("first")))
+    x = members.select(F.col("id").alias("x"), F.col("name").alias("name_x"), "form", F.expr("pmod(xxhash64(id), salts)").cast("int").alias("salt"))
+    y = members.select(F.col("id").alias("y"), F.col("name").alias("name_y"), "form", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    return x.join(y, ["form", "salt"]).where("x < y AND name_x <> name_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

@@ -88,7 +88,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.same_looking(read_table(spark, d, "entities", ["id", "name"])).toDF("entity_id_a", "entity_id_b")
+    return lookalike.same_looking(read_table(spark, d, "entities", ["id", "name"]), expand=None).toDF("entity_id_a", "entity_id_b")
 
 
 @query("p5_names")

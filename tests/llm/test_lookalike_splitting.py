@@ -6,7 +6,7 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkweft.llm import lookalike, splitting
+from sparkweft.llm import lookalike, queries, splitting
 
 SAME = [("Cache", "Сache"), ("Cache", "Ca​che"), ("a b", "a b"), ("a b", "a　b"), ("Overflow", "Ｏｖｅｒｆｌｏｗ"), ("office", "oﬃce"), ("é", "é"), ("a-b", "a‐b"), ("a-b", "a－b"), ("Hub", "Ηub"), ("go", "gօ"), ("キ", "ﾀ".replace("ﾀ", "ｷ")), ("列", "列"), ("ice", "ісе"), ("I", "І"), ("a﻿b", "a­b")]
 DIFFERENT = [("l", "I"), ("1", "l"), ("O", "0"), ("rn", "m"), ("a", "A"), ("a", "á"), ("e", "é"), ("ı", "i"), ("ß", "b"), ("ö", "o"), ("ab", "a b"), ("‐a", "—a"), ("ñ", "n")]
@@ -48,6 +48,14 @@ def test_tables(spark):
     assert out.columns == df.columns and [r.name for r in out.where("id = 2 OR id = 5").orderBy("id").collect()] == ["Cache", None]
 
 
+def test_p5_found_has_every_pair_of_a_frequent_spelling(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lookalike, "_SALT_ROWS", 16)  # several keys for one form
+    named = [(n, "Office") for n in range(1, 66)] + [(200, "\u041effice"), (201, "Off\u00adice"), (201, "Off\u00adice"), (300, "Other")]
+    spark.createDataFrame(named, "id long, name string").write.parquet(str(tmp_path / "entities.parquet"))
+    want = [(n, m) for n in range(1, 66) for m in (200, 201)] + [(200, 201)]
+    assert rows(queries.QUERIES["p5_found"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
 def check(text, limit=1400, overlap=100):
     spans = splitting.cut_points(text, limit, overlap)
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
