@@ -236,12 +236,18 @@ def similar_classes(
     return found, members
 
 
-def similar_pairs(pairs: DataFrame, members: DataFrame, expand: int = 64) -> DataFrame:
+_BLOCK_ROWS = 1024
+
+
+def similar_pairs(pairs: DataFrame, members: DataFrame, expand: int | None = 64) -> DataFrame:
     """``(a, b)``, a < b: the pairs of ids that the class pairs stand for, and the pairs of copies.
 
-    A class of more than ``expand`` copies isn't written out: its least id stands for it, and each copy is paired with
-    that id. So every two similar texts are linked, and the result grows with the rows rather than with their square.
+    With ``expand`` None every pair is written: classes are dealt out in blocks, and pairs of blocks are joined, so a
+    large class is no single task's work. Otherwise the result is an abridged one: the least id of a class of more than
+    ``expand`` members stands for it, and each other member is paired with that id only.
     """
+    if expand is None:
+        return _every_pair(pairs, members)
     linked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     small = F.col("copies") <= expand
     spread = members.join(linked, "class", "left_semi").where(small | (F.col("id") == F.col("class"))).select("id", "class")
@@ -253,6 +259,19 @@ def similar_pairs(pairs: DataFrame, members: DataFrame, expand: int = 64) -> Dat
     return across.unionByName(within).unionByName(many).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _every_pair(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    blocks = F.ceil(F.col("copies") / _BLOCK_ROWS).cast("int")
+    sizes = members.where("id = class").select("class", blocks.alias("blocks")).where("blocks > 1")
+    within = members.where("id = class AND copies > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    both = pairs.select("a", "b").unionByName(within)
+    for side, block in (("a", "i"), ("b", "j")):
+        both = both.join(sizes.toDF(side, "blocks"), side, "left")
+        both = both.withColumn(block, F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    dealt = members.select("id", "class", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    met = both.join(dealt.toDF("x", "a", "i"), ["a", "i"]).join(dealt.toDF("y", "b", "j"), ["b", "j"])
+    return met.where("a <> b OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar_groups(df: DataFrame, key: str = "id", **how) -> DataFrame:
     """``(id, group_id, copies, links)`` of every row: the least id that similar texts lead to, the number of equal
     texts (itself among them), and the number of similar classes. A row without a partner is its own group."""

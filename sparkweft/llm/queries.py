@@ -41,7 +41,7 @@ _NEAR = {"threshold": 0.7, "shingle": 3, "least_words": 20}
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = neardup.similar_classes(read_table(spark, d, "chunks", ["id", "text"], spread=True), **_NEAR)
-    return neardup.similar_pairs(pairs, members).toDF("chunk_id_a", "chunk_id_b")
+    return neardup.similar_pairs(pairs, members, expand=None).toDF("chunk_id_a", "chunk_id_b")
 
 
 @query("p2_groups")

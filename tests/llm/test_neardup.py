@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from sparkweft.llm import neardup
+from sparkweft.llm import neardup, queries
 
 HOW = {"threshold": 0.7, "shingle": 3, "least_words": 20}
 
@@ -68,6 +68,16 @@ def test_many_copies_are_linked_to_one(spark):
     assert got == {(1, n) for n in range(2, 101)} | {(1, 200)}
 
 
+def test_p2_found_has_every_pair_of_a_large_class(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "_BLOCK_ROWS", 16)  # several blocks for one class
+    text = " ".join(f"w{k}" for k in range(30))
+    data = [(n, text.upper() if n % 3 else text) for n in range(1, 71)]
+    data += [(n, text.replace("w29", "other")) for n in range(100, 140)] + [(200, text.replace("w0 ", "first ")), (201, "too short")]
+    spark.createDataFrame(data, "id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = rows(queries.QUERIES["p2_found"](spark, str(tmp_path)))
+    assert got == sorted(brute(data), key=repr) and len(got) > 70 * 69 // 2
+
+
 def test_depth_is_shortened_until_the_recall_is_reached():
     assert neardup.forest_depth(0.7, 24, 8, 0.998) == 4
     assert neardup.forest_depth(0.95, 24, 8, 0.998) == 8
