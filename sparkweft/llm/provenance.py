@@ -119,7 +119,8 @@ def chunk_facts(chunks: DataFrame) -> DataFrame:
 
 
 def recurring_share(facts: DataFrame, files: DataFrame, repositories: int) -> DataFrame:
-    """``(source_id, recurring)``: how many fingerprints of a file occur in at least so many repositories.
+    """``(source_id, prints, recurring)``: how many distinct fingerprints a file has, over all its chunks, and how many of
+    them occur in at least so many repositories (null if none).
 
     Fingerprints of a single file, which are nearly all, are dropped by a pre-aggregated minimum and maximum before
     anything is joined; what is left is counted by repository.
@@ -128,7 +129,8 @@ def recurring_share(facts: DataFrame, files: DataFrame, repositories: int) -> Da
     shared = prints.groupBy("print").agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).where("a <> b").select("print")
     rest = prints.join(shared, "print", "left_semi").distinct().join(files.select("source_id", "repository"), "source_id")
     wide = rest.groupBy("print", "repository").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= repositories).select("print")
-    return rest.join(wide, "print", "left_semi").groupBy("source_id").agg(F.count("*").alias("recurring"))
+    recurring = rest.join(wide, "print", "left_semi").groupBy("source_id").agg(F.count("*").alias("recurring"))
+    return prints.groupBy("source_id").agg(F.count_distinct("print").alias("prints")).join(recurring, "source_id", "left")
 
 
 def file_origins(sources: DataFrame, chunks: DataFrame, file_facts: DataFrame | None = None, repositories: int = 6) -> DataFrame:
@@ -147,8 +149,8 @@ def file_origins(sources: DataFrame, chunks: DataFrame, file_facts: DataFrame |
     root = F.expr("CASE WHEN endswith(abs_path, path) THEN left(abs_path, length(abs_path) - length(path)) ELSE regexp_extract(abs_path, '^(/[^/]+){0,3}', 0) END")
     files = files.withColumn("repository", F.coalesce(root, F.lit("")))
     facts = written(chunk_facts(chunks), "file-facts")
-    once = facts.select("source_id", "id", "header", "chars", "long", "data", "lines", "alike", F.size("prints").alias("prints")).distinct()
-    sums = once.groupBy("source_id").agg(F.max("header").alias("header"), *(F.sum(c).alias(c) for c in ("chars", "long", "data", "lines", "alike", "prints")))
+    once = facts.select("source_id", "id", "header", "chars", "long", "data", "lines", "alike").distinct()
+    sums = once.groupBy("source_id").agg(F.max("header").alias("header"), *(F.sum(c).alias(c) for c in ("chars", "long", "data", "lines", "alike")))
     judged = files.join(sums, "source_id", "left").join(recurring_share(facts, files, repositories), "source_id", "left")
     by_path = F.coalesce(*(F.when(F.col("path").rlike(rule), F.lit(origin)) for origin, rule in PATH_RULES))
     by_content = (

@@ -39,6 +39,12 @@ def test_copies_across_repositories_are_vendored(spark):
     assert "vendored" not in {r.origin for r in provenance.file_origins(sources, chunks, repositories=7).collect()}
 
 
+def test_a_passage_in_two_chunks_counts_once(spark):
+    sources = spark.createDataFrame([(n, f"src/x{n}.ts", f"/srv/kb/r{n}/src/x{n}.ts") for n in range(6)], "id long, path string, abs_path string")
+    chunks = spark.createDataFrame([(2 * n + k, n, f"src/x{n}.ts", k, HAND) for n in range(6) for k in range(2)], "id long, source_id long, path string, ordinal int, text string")
+    assert {r.origin for r in provenance.file_origins(sources, chunks).collect()} == {"vendored"}
+
+
 def test_winnowing_meets_shared_runs():
     shared = " ".join(f"tok{n}" for n in range(60))
     a, b = (set(provenance.winnow(f"{x} {shared} {y}").tolist()) for x, y in (("one two three", "end"), ("other", "more of it here")))
