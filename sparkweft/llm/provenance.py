@@ -43,11 +43,33 @@ _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 GRAM, WINDOW = 12, 8
 
 
-def header_says(text: str, lines: int = 10) -> str:
-    """What the comments at the top say: ``generated``, ``vendored`` or nothing. Strings and talk about such files don't count."""
-    said = ""
-    for line in text.split("\n", lines)[:lines]:
-        m = _COMMENT.match(line)
+#: Comments of prose, where other signs mean headings and lists: HTML's, those of reStructuredText and of AsciiDoc.
+_PROSE_COMMENT = re.compile(r"^\s*(?:<!--|\.\.(?=\s)|//(?!/))\s*(?P<said>.*?)\s*(?:-->)?\s*$")
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+_INSIDE = re.compile(r"^(?P<said>.*?)\s*(?:\*/|-->|\"{3}|'{3})?$")
+_PREAMBLE = re.compile(r"(?i)^\s*(?:#!|<\?|<!doctype\b|['\"]use strict['\"])")
+
+
+def header_says(text: str, lines: int = 10, prose: bool = False) -> str:
+    """What the comments at the top say: ``generated``, ``vendored`` or nothing. Strings and talk about such files don't count.
+
+    The top is the first ``lines`` lines, and the comment block that the text begins with however long it is.
+    """
+    said, leading, close, at = "", True, "", 0
+    comment = _PROSE_COMMENT if prose else _COMMENT
+    while at <= len(text) and (leading or lines > 0):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line, at, lines = text[at:end], end + 1, lines - 1
+        bare, m = line.strip(), comment.match(line)
+        if close:
+            inner, close = bare, "" if close in bare else close
+            m = m or leading and _INSIDE.match(inner)
+        elif m:
+            opened = next((x for x in _BLOCKS if bare.startswith(x[0])), None)
+            close = opened[1] if opened and opened[1] not in bare[len(opened[0]) :] else ""
+        elif bare and not _PREAMBLE.match(line):
+            leading = False
         if not m or _BY_HAND.search(m["said"]):
             continue
         if _MADE.search(m["said"]):
@@ -71,7 +93,7 @@ def line_facts(text: str) -> tuple[int, int, int, int, int]:
             data += n
         elif n > 250:
             long += n
-        shapes[_ATOM.sub("w", _STRING.sub("s", line[:400])).strip()] += 1
+        shapes[_ATOM.sub("w", _STRING.sub("s", line)).strip()] += 1
     return chars, long, data, lines, sum(c for _, c in shapes.most_common(2))
 
 
@@ -97,7 +119,8 @@ _FACTS = "source_id long, id long, header string, chars long, long long, data lo
 
 
 def chunk_facts(chunks: DataFrame) -> DataFrame:
-    """A row of facts per chunk that has a text; prose has none, for only code is judged by its content."""
+    """A row of facts per chunk that has a text; prose has what its head comment says only, for only code is judged by its
+    content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -105,6 +128,8 @@ def chunk_facts(chunks: DataFrame) -> DataFrame:
                 out = []
                 for source, i, path, first, text in zip(*(c.to_pylist() for c in whole.slice(at, _SLICE).columns)):
                     if path and _PROSE.search(path):
+                        if first and (says := header_says(text, prose=not path.lower().endswith((".txt", ".log")))):
+                            out.append((source, i, says, 0, 0, 0, 0, 0, []))
                         continue
                     facts = line_facts(text)
                     if path and _LISTS.search(path):

@@ -20,6 +20,25 @@ def test_headers():
         assert provenance.header_says(text) == "", text
 
 
+def test_headers_of_prose_and_below_long_comments():
+    licence = [f"clause {n} of the terms" for n in range(30)]
+    for text in ("# " + "\n# ".join(licence) + "\n#\n# Code generated by x. DO NOT EDIT.\nx = 1", "/*\n" + "\n".join(licence) + "\nCode generated by x. DO NOT EDIT.\n*/\nx"):
+        assert provenance.header_says(text) == "generated", text
+    assert provenance.header_says("/* a */\n" + "x = 1\n" * 12 + "// Code generated by x. DO NOT EDIT.") == ""
+    assert provenance.header_says("<!-- Generated by x, do not edit -->\n# API", prose=True) == "generated"
+    assert provenance.header_says("# Generated by hand or by tools\n* auto-generated files", prose=True) == ""
+    lines = "\n".join("f(" + "a, " * 150 + end for end in ("b)", "[b]", "{b}", "b;", "b!"))
+    assert provenance.line_facts(lines)[4] == 2
+
+
+def test_origin_of_prose_by_its_head_comment(spark):
+    texts = [("docs/a.html", "<!doctype html>\n<!-- Code generated by x. DO NOT EDIT. -->\n<p>a</p>"), ("docs/b.md", "# Generated by a tool?\ntext"), ("requirements.txt", "# autogenerated by x\na==1"), ("docs/c.md", "<!-- Vendored from x 1.2 -->\ntext")]
+    sources = spark.createDataFrame([(n, p, f"/srv/{p}") for n, (p, _) in enumerate(texts)], "id long, path string, abs_path string")
+    chunks = spark.createDataFrame([(n, n, p, 0, t) for n, (p, t) in enumerate(texts)], "id long, source_id long, path string, ordinal int, text string")
+    got = {r.path: r.origin for r in provenance.file_origins(sources, chunks).collect()}
+    assert got == {"docs/a.html": "generated", "docs/b.md": "hand-written", "requirements.txt": "generated", "docs/c.md": "vendored"}
+
+
 def test_origins(spark):
     files = [("src/a.ts", HAND), ("src/b.ts", GENERATED), ("src/c.ts", DATA), ("web/d.js", MINIFIED), ("vendor/e.ts", HAND), ("src/vendor-portal/f.ts", HAND), ("gen/g.java", None), ("package-lock.json", ""), ("scripts/gen-h.ts", HAND), ("src/minify-i.js", HAND), ("docs/j.md", GENERATED), ("dist/k.js", MINIFIED), ("src/l.ts", "// Vendored from x 1\n" + HAND), ("src/m.ts", None)]
     sources = spark.createDataFrame([(n, p, f"/srv/kb/r1/{p}", "x") for n, (p, _) in enumerate(files)] + [(0, "src/a.ts", "/srv/kb/r1/src/a.ts", "x"), (99, None, None, "x")], "id long, path string, abs_path string, origin string")
