@@ -34,6 +34,14 @@ _VALUE = rf"(?:{_QUOTED}|{_BARE})"
 _NAMED = re.compile(rf"""(?P<name>[^\W\d][\w$-]*)(?P<close>["'`\]]*)(?:\s*[:=：]=?>?(?![=:])|\s*->|\s*[=]>|\s*(?:是|为|is|ist|est|es)(?=\s))\s*{_VALUE}""")
 #: Options of commands and words of login files take their value after a blank.
 _PASSED = re.compile(rf"""(?<![\w-])(?P<name>--?[A-Za-z][\w-]*|password|passwd)[ \t=]+{_VALUE}""")
+#: Arguments of calls: of one that is named for a secret, and the literal after a quoted name.
+_CALLED = re.compile(rf"""(?P<name>[^\W\d][\w$]*)\(\s*{_QUOTED}""")
+_PAIRED = re.compile(rf"""[(,]\s*(?P<open>["'`])(?P<name>[^\W\d][\w.$-]*)(?P=open)\s*,\s*{_QUOTED}\s*(?=[,)])""")
+#: An assignment whose value is on the next line: a literal, or the text of a YAML block.
+_OPENED = re.compile(r"""(?P<name>[^\W\d][\w$-]*)["'`\]]*\s*(?:[:=]=?>?|=>)[ \t]*(?P<block>[|>][-+\d]*)?[ \t]*[(\\]?[ \t]*\r?$""")
+_NEXT_LITERAL = re.compile(rf"""\n[ \t]*{_QUOTED}(?!\s*:)""")
+_NEXT_TEXT = re.compile(r"""\n[ \t]+(?P<quoted>\S+)[ \t]*(?=\r?\n|\r?\Z)""")
+_ASKING = {"get", "find", "read", "load", "fetch", "lookup", "has", "is", "need", "require", "prompt", "ask", "generate", "make", "by", "delete", "remove"}
 _FOLLOW = re.compile(r"""[ \t]*(?:\+|\\|\.)?[ \t]*\r?\n[ \t]*(?:--|#|//|\*)?[ \t]*(?:\+|\.)?[ \t]*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
@@ -68,7 +76,7 @@ def _anchors() -> ahocorasick.Automaton:
     """What a line must hold for any rule to apply."""
     found = ahocorasick.Automaton()
     for word in (
-        "passw", "passphrase", "pass phrase", "passcode", "kennwort", "pwd", "_pass", "-pass", "psw", "密码", "口令", "密钥", "пароль", "contrase", "heslo",
+        "pass", "kennwort", "pwd", "psw", "密码", "口令", "密钥", "пароль", "contrase", "heslo",
         "secret", "token", "key", "credential", "session", "sid", "auth", "bearer", "sig", "jwt", "cookie", "hook", "private key", "://", "akia", "asia", "ghp_", "gho_", "ghu_",
         "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "xox", "npm_", "pypi-", "sk-", "aiza", "hf_", "sg.", "dop_v1_", "eyj", " -u ", "--user", " -p", "pin",
     ):
@@ -128,6 +136,14 @@ def _credential_name(name: str) -> str:
     return "likely" if _LIKELY.search(joined) else ""
 
 
+def _good_argument(name: str, value: str, setter: bool) -> bool:
+    """Whether a literal argument is the secret; plain words and dotted names are keys and labels unless a setter takes them."""
+    sure = _credential_name(name)
+    if sure == "sure":
+        return _written_out(value, True) and (setter or not re.fullmatch(r"[^\W\d_]+(?:[\s._:/-]+[^\W\d_]+)*[?!.:…]*", value))
+    return bool(sure) and not re.search(r"\s", value) and _random_looking(value) and not _holds_place(value)
+
+
 def _parts(text: str, start: int, end: int) -> tuple[tuple[int, int], ...]:
     """The span without escape sequences of line ends, which stay as they are."""
     out, at = [], start
@@ -142,8 +158,10 @@ def _parts(text: str, start: int, end: int) -> tuple[tuple[int, int], ...]:
 
 def _pem(text: str, at: re.Match) -> Secret | None:
     """A private key from its first line; the lines between the marks are what is replaced."""
-    stop = _PEM_END.search(text, at.end(), at.end() + 20_000)
-    end = stop.start() if stop else min(len(text), at.end() + 20_000)
+    stop, other = _PEM_END.search(text, at.end()), _PEM.search(text, at.end())
+    if stop and other and other.start() < stop.start():
+        stop = None
+    end = stop.start() if stop else other.start() if other else len(text)
     parts = []
     for m in _PEM_BODY.finditer(text, at.end(), end):
         begin = m.start() + (text[m.start() - 1] == "\\" and text[m.start()] in "nr")
@@ -158,7 +176,9 @@ def _in_line(text: str, start: int, end: int) -> Iterator[Secret]:
     line = text[start:end]
 
     def secret(m: re.Match, group: str | int, kind: str) -> Secret:
-        a, b = start + m.start(group), start + m.end(group)
+        return spread(start + m.start(group), start + m.end(group), kind)
+
+    def spread(a: int, b: int, kind: str) -> Secret:
         parts = [*_parts(text, a, b)]
         while b < len(text) and text[b] in "\"'`" and (more := _FOLLOW.match(text, b + 1)) and re.fullmatch(r"[\w+/=.~-]+", more[2]):
             parts.append(more.span(2))
@@ -203,6 +223,15 @@ def _in_line(text: str, start: int, end: int) -> Iterator[Secret]:
                 good = _random_looking(value) and not _holds_place(value) and after != "("
             if good:
                 yield secret(m, group, "named")
+    for rule in (_CALLED, _PAIRED):
+        for m in rule.finditer(line):
+            words = [w.lower() for w in _CAMEL.split(m["name"]) if w]
+            if (rule is _PAIRED or words[0] not in _ASKING) and _good_argument(m["name"], m["quoted"], words[0] == "set"):
+                yield secret(m, "quoted", "argument")
+    if (m := _OPENED.search(line)) and (sure := _credential_name(m["name"])):
+        value = (_NEXT_TEXT if m["block"] else _NEXT_LITERAL).match(text, end)
+        if value and (_written_out(value["quoted"], not m["block"]) if sure == "sure" else _random_looking(value["quoted"]) and not _holds_place(value["quoted"])):
+            yield spread(*value.span("quoted"), "named")
 
 
 def find_secrets(text: str | None) -> list[Secret]:

@@ -55,6 +55,31 @@ def test_a_value_over_two_lines_counts_at_its_first():
     assert C.secret_lines(text) == [2] and C.redact(text) == 'a\nconst t = "REDACTED" +\n    "REDACTED"\nb'
 
 
+@pytest.mark.parametrize("text,secret,line", [
+    ('setPassword("Xk29-qLm")', "Xk29-qLm", 1), ('config.put("db.password", "Xk29-qLm");', "Xk29-qLm", 1), (f"cfg.set('apiKey', '{KEY}aB3dE5')", f"{KEY}aB3dE5", 1),
+    ('password =\n    "Xk29-qLm"\n', "Xk29-qLm", 2), ("a: 1\npassword: |\n  Xk29-qLm!\nb: 2", "Xk29-qLm!", 3), ('dbPass = "Xk29-qLm"', "Xk29-qLm", 1), ("mail.pass: Xk29-qLm!", "Xk29-qLm!", 1),
+])
+def test_arguments_next_lines_and_pass(text, secret, line):
+    assert C.secret_lines(text) == [line] and C.redact(text) == text.replace(secret, C.REDACTED)
+
+
+@pytest.mark.parametrize("text", ['getPassword("db-prod-01")', 't("password", "Enter password")', 'f("password", "username")', "password:\n  minLength: 8", 'password:\n  "type": "string"', "def f():\n    pass", 'put("db.password", "${DB_PW}")'])
+def test_arguments_that_are_no_secrets(text):
+    assert C.find_secrets(text) == []
+
+
+def test_a_literal_on_the_next_line_may_go_on():
+    text = f'API_KEY = (\n    "{KEY}aB3dE5"\n    "C517NNabcd"\n)'
+    assert C.secret_lines(text) == [2] and C.redact(text) == 'API_KEY = (\n    "REDACTED"\n    "REDACTED"\n)'
+    assert C.find_secrets('raise CacheKey("bounded 682 in Some place of 4711")') == []
+
+
+def test_a_key_block_of_any_length_ends_at_its_mark():
+    body = "\n".join(f"ABCDEFGHIJKLMNOPQRSTUVWXYZ{n:06d}" for n in range(900))
+    out = C.redact(f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\nABCDEFGHIJKLMNOPQRSTUVWX")
+    assert out == "-----BEGIN PRIVATE KEY-----\n" + "REDACTED\n" * 900 + "-----END PRIVATE KEY-----\nABCDEFGHIJKLMNOPQRSTUVWX"
+
+
 def test_escapes_stay():
     assert C.redact('password = "ab\\"c1#x"') == 'password = "REDACTED"'
 
