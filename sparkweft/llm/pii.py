@@ -78,7 +78,7 @@ _ID = re.compile(rf"(?i)(?<![^\W\d_\u3400-\u9fff]){_ID_WORD}{_B}*(?:is|lautet|[:
 _ID_TAIL = re.compile(r"(?:[ ./-][a-z]{2,}|[ ./-][A-Za-z]?[a-z]+)+$|[ ][A-Za-z]{2,}$")
 _ID_BARE = re.compile(r"(?<![\w./-])(?:\d{3}-\d{2}-\d{4}|\d{6}(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-]|[./]\d)")
 
-_CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’]*"
+_CAP = r"[A-ZÀ-ÖØ-ÞĀ-ŽЀ-Я][\w'’]*"
 #: Latin letters, digits and joints; other scripts may stand right before an address.
 _L = r"(?<![A-Za-z0-9\u00c0-\u024f.,/-])"
 #: Per convention of writing an address: words of which a text must hold one, and the pattern of street and number.
@@ -109,7 +109,7 @@ _ID_HINTS = ("social", "national", "identi", "id card", "id-", "id n", "passport
 _ID_SHORT = re.compile(r"(?i:\b(?:ssn|tin|itin|vat|nir|dni|nie|nif|cpf|curp|bsn|pesel)\b)")
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Don|Doña|Г-н|Г-жа)"
 _NAME = re.compile(
-    rf"(?<![\w-])(?=(?:(?P<title>{_TITLE})\.?{_B}(?:{_CAP}{_B})?(?P<tf>{_CAP})(?![\w-])|(?P<g>{_CAP}(?:-{_CAP})?)(?:{_B}[A-Z]\.)*{_B}(?P<f>{_CAP}(?:-{_CAP})?)(?![\w-])|(?P<f2>{_CAP}),{_B}(?P<g2>{_CAP}(?:-{_CAP})?)(?:{_B}[A-Z]\.)*(?![\w-])))(?P<at>{_CAP})"
+    rf"(?<![\w-])(?=(?:(?P<title>{_TITLE})\.?{_B}(?:{_CAP}{_B})?(?P<tf>{_CAP})(?![\w-])|(?P<g>{_CAP}(?:-{_CAP})?)(?:{_B}[A-ZЀ-Я]\.)*{_B}(?P<f>{_CAP}(?:-{_CAP})?)(?![\w-])|(?P<f2>{_CAP}),{_B}(?P<g2>{_CAP}(?:-{_CAP})?)(?:{_B}[A-ZЀ-Я]\.)*(?![\w-])))(?P<at>{_CAP})"
 )
 _BEFORE = re.compile(
     r"""(?i)(?:\b(?:met|reviewer|reviewed by|author|authors|reported by|submitted by|written by|signed by|approved by|thanks to|thank|applicant|user|username|full name|name|contact|ask for|attn|attention|dear|hello|hi|regards|sincerely|customer|patient|employee|assignee|owner|signed|manager|(?:from|to|cc)(?=\s*:))\b["']?\s*(?:[:=-]+\s*)?["'(<]?|\|\s*)$"""
@@ -199,7 +199,7 @@ class Detector:
                 score += 2 * (bool(_BEFORE.search(text, max(start, m.start() - 28), m.start())) or linked == m.start() or bool(_AFTER.match(text, end)))
                 if first and not self._part(first, self.given) and not (len(first) > 2 and first[0].isupper()):
                     score -= 1
-            if score >= ENOUGH and len(last) > 2:
+            if score >= ENOUGH and (len(last) > 2 or kind == "t" or self._part(last, self.family)):
                 yield Span(m.start(), end, "name")
                 if more := re.compile(rf",?{_B}(?:and|und|y|et|&|и){_B}").match(text, end):
                     linked = more.end()

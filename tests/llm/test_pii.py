@@ -45,6 +45,13 @@ def test_clean(text):
     assert D.spans(text) == []
 
 
+@pytest.mark.parametrize("text,name", [("I met Anna Wu at the hall", "Anna Wu"), ("Signed by Mr. Ng", "Mr. Ng"), ("Wei Li wrote", "Wei Li"), ("Автор: Иван Иванов", "Иван Иванов"), ("Пишет Г-н Иванов.", "Г-н Иванов"), ("Иван П. Иванов", "Иван П. Иванов")])
+def test_short_and_cyrillic_names(text, name):
+    detector = pii.Detector([("Anna", "given"), ("Wei", "given"), ("Wu", "family"), ("Li", "family"), ("Иван", "given"), ("Иванов", "family")])
+    assert [(text[s.start : s.end], s.kind) for s in detector.spans(text)] == [(name, "name")]
+    assert detector.spans("Anna Qx is a label") == []
+
+
 def test_validators():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83 WEST 1234 5698 7654 32")
