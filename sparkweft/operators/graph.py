@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweft.sources.tables import checkpointed
 
+_LOG = logging.getLogger(__name__)
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of every node of the edges ``(src, dst)``, the component being its least node.
@@ -213,21 +217,28 @@ def communities_exact(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def communities(nodes: DataFrame, relations: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(id, label)`` by propagation in rounds, for graphs of any size. It may differ from ``communities_exact``: all nodes
-    move at once, each other round only the odd or only the even ids so that neighbours don't swap labels for ever."""
+def communities(nodes: DataFrame, relations: DataFrame, rounds: int = 60) -> DataFrame:
+    """``(id, label)`` by propagation in rounds, for graphs of any size. It may differ from ``communities_exact``: of each pair
+    of rounds one moves a half of the nodes and the other the rest, so that neighbours don't swap labels for ever. The
+    halves are drawn anew for each pair, so nodes of one half in one pair part in another.
+
+    Ends when a pair of rounds changes nothing, which is when no node would move, or after ``rounds`` rounds (60 are 30
+    sweeps); then a warning is logged, for labels may be unfinished."""
     edges = checkpointed(undirected(relations).where("node <> other"))
     labels = checkpointed(nodes.select("id", F.col("id").alias("label")).distinct())
+    moved = False
     for k in range(rounds):
         votes = edges.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best")).select(F.col("node").alias("id"), F.col("best.label").alias("new"))
-        turn = F.pmod(F.col("id"), F.lit(2)) == k % 2
+        half = F.col("id") if k < 2 else F.xxhash64("id", F.lit(k // 2))
+        turn = F.pmod(half, F.lit(2)) == k % 2
         after = checkpointed(labels.join(best, "id", "left").select("id", F.when(turn, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"), "label"))
         after = after.toDF("id", "label", "before")
-        changed = after.where("label <> before").limit(1).count()
+        moved = (k % 2 == 1 and moved) or not after.where("label <> before").isEmpty()
         labels = after.select("id", "label")
-        if not changed and k % 2:
-            break
+        if not moved and k % 2:
+            return labels
+    _LOG.warning("communities: labels still changed after %d rounds", rounds)
     return labels
 
 

@@ -85,6 +85,21 @@ def test_labels_two_triangles_and_a_bridge(spark):
     assert len(set(dict(rows(graph.communities(spark.createDataFrame([(n,) for n in range(1, 7)], "id long"), edges(spark, data)))).values())) == 2
 
 
+def test_labels_run_until_none_moves(spark, caplog):
+    ids = [*range(0, 20), 101, 103]
+    links = [(n, n + 1, "u", 100 - n, 1.0) for n in range(19)] + [(101, 103, "u", 1, 1.0)]
+    nodes, table = spark.createDataFrame([(n,) for n in ids], "id long"), edges(spark, links)
+    label = dict(rows(graph.communities(nodes, table)))
+    assert not caplog.records and label[101] == label[103]
+    votes = defaultdict(lambda: defaultdict(float))
+    for a, b, _, w, _ in links:
+        votes[a][label[b]] += w
+        votes[b][label[a]] += w
+    assert all(label[n] == min(v, key=lambda x: (-v[x], x)) for n, v in votes.items())
+    graph.communities(nodes, table, rounds=2)
+    assert "still changed" in caplog.text
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 12)), max_size=14))
 def test_components_like_union_find(spark, pairs):
