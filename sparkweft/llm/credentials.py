@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweft.llm.lexer import Statement, Token
+
 REDACTED = "REDACTED"
 _SLICE = 256
 
@@ -26,23 +28,22 @@ class Secret(NamedTuple):
 
 # --- lexical pieces ---------------------------------------------------------------------------------------------
 
-#: A literal with its escapes (the quote is group q), or a bare value up to a blank or a separator.
-_QUOTED = r"""(?:[A-Za-z]{0,2})(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
-_BARE = r"""(?P<bare>[^\s"'`;,<>(){}\[\]][^\s"'`;,<>()\[\]]*)"""
-_VALUE = rf"(?:{_QUOTED}|{_BARE})"
-#: Something a value is given to: a name in any script, plain or as a quoted key, then an assignment that isn't a comparison.
-_NAMED = re.compile(rf"""(?P<name>[^\W\d][\w$-]*)(?P<close>["'`\]]*)(?:\s*[:=：]=?>?(?![=:])|\s*->|\s*[=]>|\s*(?:是|为|is|ist|est|es)(?=\s))\s*{_VALUE}""")
-#: Options of commands and words of login files take their value after a blank.
-_PASSED = re.compile(rf"""(?<![\w-])(?P<name>--?[A-Za-z][\w-]*|password|passwd)[ \t=]+{_VALUE}""")
-#: Arguments of calls: of one that is named for a secret, and the literal after a quoted name.
-_CALLED = re.compile(rf"""(?P<name>[^\W\d][\w$]*)\(\s*{_QUOTED}""")
-_PAIRED = re.compile(rf"""[(,]\s*(?P<open>["'`])(?P<name>[^\W\d][\w.$-]*)(?P=open)\s*,\s*{_QUOTED}\s*(?=[,)])""")
-#: An assignment whose value is on the next line: a literal, or the text of a YAML block.
-_OPENED = re.compile(r"""(?P<name>[^\W\d][\w$-]*)["'`\]]*\s*(?:[:=]=?>?|=>)[ \t]*(?P<block>[|>][-+\d]*)?[ \t]*[(\\]?[ \t]*\r?$""")
-_NEXT_LITERAL = re.compile(rf"""\n[ \t]*{_QUOTED}(?!\s*:)""")
-_NEXT_TEXT = re.compile(r"""\n[ \t]+(?P<quoted>\S+)[ \t]*(?=\r?\n|\r?\Z)""")
+#: A value without quotes, up to a blank or a separator.
+_BARE = re.compile(r"""[^\s"'`;,<>(){}\[\]][^\s"'`;,<>()\[\]]*""")
+#: Marks and words that give a value to the name before them.
+_ASSIGNS = {"=", ":=", ":", "：", "=>", "->", "?=", "||=", "??=", "+="}
+_COPULAS = {"is", "ist", "est", "es", "是", "为"}
+_ELSE = {"||", "??", "or", "?:"}
 _ASKING = {"get", "find", "read", "load", "fetch", "lookup", "has", "is", "need", "require", "prompt", "ask", "generate", "make", "by", "delete", "remove"}
 _FOLLOW = re.compile(r"""[ \t]*(?:\+|\\|\.)?[ \t]*\r?\n[ \t]*(?:--|#|//|\*)?[ \t]*(?:\+|\.)?[ \t]*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+#: The text of a YAML block, and of a here-document, from the end of the line that opens it.
+_BLOCK = re.compile(r"[|>][-+\d]*[ \t]*(?:#[^\n]*)?\r?\Z")
+_ENTRY = re.compile(r"\s*(?:[:=]|=>)")
+_BLOCK_LINE = re.compile(r"\n(?:[ \t]*\r?(?=\n))*(?P<indent>[ \t]+)(?P<first>\S+)[ \t]*\r?(?=\n|\Z)")
+_HERE = re.compile(r"""<<[-~]?\s*["']?(?P<mark>[A-Za-z_]\w*)["']?""")
+#: A line of an environment file or of a shell, where a word is a value whatever it looks like.
+_SHELL_LINE = re.compile(r"\s*(?:export\s+|set\s+|ENV\s+|[-*]\s+)?[A-Z][A-Z0-9_]*=(?P<bare>[^\s\"'`$;]+)\s*\Z")
+_XML_VALUE = re.compile(r"\s*(?P<value>[^<>\s][^<>\n]*?)\s*</")
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
@@ -76,7 +77,7 @@ def _anchors() -> ahocorasick.Automaton:
     """What a line must hold for any rule to apply."""
     found = ahocorasick.Automaton()
     for word in (
-        "pass", "kennwort", "pwd", "psw", "密码", "口令", "密钥", "пароль", "contrase", "heslo",
+        "pass", "kennwort", "pwd", "psw", "identified by", "pw ", "pw=", "pw:", "pw\"", "pw'", "密码", "口令", "密钥", "пароль", "contrase", "heslo",
         "secret", "token", "key", "credential", "session", "sid", "auth", "bearer", "sig", "jwt", "cookie", "hook", "private key", "://", "akia", "asia", "ghp_", "gho_", "ghu_",
         "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "xox", "npm_", "pypi-", "sk-", "aiza", "hf_", "sg.", "dop_v1_", "eyj", " -u ", "--user", " -p", "pin",
     ):
@@ -110,12 +111,21 @@ def _holds_place(value: str) -> bool:
     return not value or bool(_HOLDERS.match(value)) or bool(_REFERS.search(value)) or len(set(value)) < 3
 
 
+_SPOKEN = {"a", "an", "and", "any", "are", "as", "be", "can", "could", "did", "do", "enter", "expired", "failed", "for", "from", "has", "have", "if", "in", "incorrect", "invalid", "is", "it", "match", "missing", "must", "no", "not", "of", "on", "or", "password", "please", "required", "reset", "should", "that", "the", "this", "to", "too", "was", "with", "wrong", "you", "your"}
+
+
+def _pass_phrase(value: str) -> bool:
+    """Several plain words that don't make a sentence."""
+    words = value.split()
+    return 3 <= len(words) <= 8 and all(re.fullmatch(r"[a-z]{2,12}", w) for w in words) and not _SPOKEN.intersection(words) and len(set(words)) == len(words)
+
+
 def _written_out(value: str, quoted: bool) -> bool:
     """Whether the value of a password-like name is the password itself rather than a word for it, a type or a variable."""
-    if len(value) < 4 or _holds_place(value) or value.isdigit() and len(value) < 6:
+    if len(value) < 4 or _holds_place(value) or value.isdigit() and len(value) < 6 or re.fullmatch(r"(?:~|\.{0,2})(?:/[\w.-]+){2,}", value):
         return False
     if quoted:
-        return not re.search(r"\s\S+\s", value)
+        return not re.search(r"\s\S+\s", value) or _pass_phrase(value)
     if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)*[?!|&:+.-]*", value):  # a variable, unless it is mixed like a password
         mixed = re.search(r"[A-Z]", value[1:]) and re.search(r"[a-z]", value)
         return bool(mixed and "." not in value and (len(re.findall(r"\d", value)) >= 2 or _flips(value) >= 5 and re.search(r"[A-Z]{2}", value)))
@@ -131,7 +141,7 @@ def _credential_name(name: str) -> str:
     if not words or words[-1] in _NOT_SECRET or "public" in words:
         return ""
     joined = "".join(words)
-    if _SURE.search(joined) or words[-1] in ("pwd", "pass", "psw", "passwd"):
+    if _SURE.search(joined) or words[-1] in ("pwd", "pass", "psw", "passwd", "pw"):
         return "sure"
     return "likely" if _LIKELY.search(joined) else ""
 
@@ -172,66 +182,237 @@ def _pem(text: str, at: re.Match) -> Secret | None:
     return Secret(at.start(), parts[-1][1], "private_key", tuple(parts)) if parts else None
 
 
-def _in_line(text: str, start: int, end: int) -> Iterator[Secret]:
-    line = text[start:end]
-
-    def secret(m: re.Match, group: str | int, kind: str) -> Secret:
-        return spread(start + m.start(group), start + m.end(group), kind)
-
-    def spread(a: int, b: int, kind: str) -> Secret:
-        parts = [*_parts(text, a, b)]
-        while b < len(text) and text[b] in "\"'`" and (more := _FOLLOW.match(text, b + 1)) and re.fullmatch(r"[\w+/=.~-]+", more[2]):
-            parts.append(more.span(2))
-            b = more.end(2)
-        return Secret(a, b, kind, tuple(parts))
-
+def _issued_and_carried(text: str, start: int, end: int, line: str) -> Iterator[tuple[int, int, str]]:
+    """What needs no name: issued keys, signed sessions, and secrets in URLs, headers, cookies and logins."""
+    low = line.lower()
     for m in _ISSUED.finditer(line):
         if not re.search(r"(?i)x{6,}|example", m[0]):
-            yield secret(m, 0, "issued_key")
-    for m in _SIGNED.finditer(line):
-        yield secret(m, 0, "signed_session")
-    for m in _URL.finditer(line):
-        if not _holds_place(m["secret"]) and len(m["secret"]) >= 4:
-            yield secret(m, "secret", "url_password")
-    for m in _QUERY.finditer(line):
+            yield start + m.start(), start + m.end(), "issued_key"
+    for m in _SIGNED.finditer(line) if "eyJ" in line else ():
+        yield start + m.start(), start + m.end(), "signed_session"
+    if "://" in line:
+        for m in _URL.finditer(line):
+            if not _holds_place(m["secret"]) and len(m["secret"]) >= 4:
+                yield start + m.start("secret"), start + m.end("secret"), "url_password"
+    for m in _QUERY.finditer(line) if "=" in line else ():
         if _QUERY_NAME.search(m["name"]) and _random_looking(m["secret"]) and not _holds_place(m["secret"]):
-            yield secret(m, "secret", "url_token")
-    for m in _HEADER.finditer(line):
+            yield start + m.start("secret"), start + m.end("secret"), "url_token"
+    for m in _HEADER.finditer(line) if "authorization" in low else ():
         if not _holds_place(m["secret"]) and (m["scheme"] and len(m["secret"]) >= 12 and not m["secret"].isalpha() or _random_looking(m["secret"])):
-            yield secret(m, "secret", "header")
-    for m in _COOKIE.finditer(line):
+            yield start + m.start("secret"), start + m.end("secret"), "header"
+    for m in _COOKIE.finditer(line) if "cookie" in low else ():
         for pair in re.finditer(r"[\w.-]+=([^;\s]+)", m["pairs"]):
             if _random_looking(pair[1]) and not _holds_place(pair[1]):
                 a = start + m.start("pairs") + pair.start(1)
-                yield Secret(a, a + len(pair[1]), "cookie", ((a, a + len(pair[1])),))
-    for m in _LOGIN.finditer(line):
+                yield a, a + len(pair[1]), "cookie"
+    for m in _LOGIN.finditer(line) if "-p" in line or "-u" in line else ():
         group = "secret" if m["secret"] else "passed"
         if _written_out(m[group], True):
-            yield secret(m, group, "command")
-    for rule in (_NAMED, _PASSED):
-        at = 0
-        while m := rule.search(line, at):
-            value, group = (m["quoted"], "quoted") if m["q"] else (m["bare"], "bare")
-            at = max(m.start(group), m.end("name"))
-            sure = _credential_name(m["name"])
-            if not sure or line[max(0, m.start() - 1) : m.start()] in ("?", "&"):
-                continue
-            after = line[m.end() : m.end() + 1]
-            if sure == "sure":
-                good = _written_out(value, bool(m["q"])) and not (after == "(" or not m["q"] and after in "([" and after)
-            else:
-                good = _random_looking(value) and not _holds_place(value) and after != "("
-            if good:
-                yield secret(m, group, "named")
-    for rule in (_CALLED, _PAIRED):
-        for m in rule.finditer(line):
-            words = [w.lower() for w in _CAMEL.split(m["name"]) if w]
-            if (rule is _PAIRED or words[0] not in _ASKING) and _good_argument(m["name"], m["quoted"], words[0] == "set"):
-                yield secret(m, "quoted", "argument")
-    if (m := _OPENED.search(line)) and (sure := _credential_name(m["name"])):
-        value = (_NEXT_TEXT if m["block"] else _NEXT_LITERAL).match(text, end)
-        if value and (_written_out(value["quoted"], not m["block"]) if sure == "sure" else _random_looking(value["quoted"]) and not _holds_place(value["quoted"])):
-            yield spread(*value.span("quoted"), "named")
+            yield start + m.start(group), start + m.end(group), "command"
+
+
+class _Line:
+    """The literals that a line assigns or passes to credential-named identifiers, found token by token."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end = text, start, end
+        self.tokens = Statement(text, start, end)
+
+    def found(self) -> Iterator[tuple[int, int, str]]:
+        n = 0
+        while self.tokens.inside(n):
+            token = self.tokens[n]
+            if token.kind == "word" or token.kind == "string":
+                yield from self._after_name(n, token)
+            elif token.kind == "tag":
+                yield from self._in_tag(token)
+            n += 1
+
+    def _after_name(self, n: int, token: Token) -> Iterator[tuple[int, int, str]]:
+        name = self.text[token.inner : token.outer]
+        if token.kind == "string" and (len(name) > 80 or not re.fullmatch(r"[^\W\d][\w.$-]*", name)):
+            yield from self._within(token)
+            return
+        sure = _credential_name(name)
+        words = [w.lower() for w in _CAMEL.split(name) if w]
+        t, at = self.tokens, n + 1
+        if token.kind == "string" and t.said(at) == "," and t.said(n - 1 if n else 0) in ("(", ",") and t[at + 1] and t[at + 1].kind == "string" and t.said(at + 2) in (",", ")"):
+            if _good_argument(name, self._inside(t[at + 1]), False):
+                yield self._span(t[at + 1], "argument")
+            return
+        if token.kind == "word" and t.said(at) == "(" and sure and words[0] not in _ASKING:
+            yield from self._arguments(at, name, words)
+            return
+        if not sure and not (words[-1:] == ["by"] and n and t.said(n - 1).lower() == "identified"):
+            return
+        if token.kind == "word" and self.text[max(0, token.start - 1) : token.start] in ("?", "&"):
+            return  # a parameter of a URL
+        while t.said(at) in ("]", "?", "!", '"', "'", "`") and t[at].kind == "mark":
+            at += 1
+        sign = t.said(at)
+        if sign in _ASSIGNS or sign.lower() in _COPULAS and token.kind == "word":
+            yield from self._assigned(name, sure, at, sign)
+        elif sign.startswith("=") and sign.endswith(">"):
+            yield from self._assigned(name, sure, at, sign)
+        elif t[at] and t.inside(at) and t[at].kind == "string" and (sure == "sure" or not sure) and token.kind == "word":
+            if self._password(t[at], True) and not re.fullmatch(r"[^\W\d_]+(?:[\s._:/-]+[^\W\d_]+)*[?!.:…]*", self._inside(t[at])):
+                yield self._span(t[at], "argument")
+        elif token.kind == "word" and (self.text[max(0, token.start - 1) : token.start] == "-" or name in ("password", "passwd")) and self.text[token.end : token.end + 1] in (" ", "\t"):
+            yield from self._bare(name, sure, token.end, "")
+
+    def _inside(self, token: Token) -> str:
+        return self.text[token.inner : token.outer]
+
+    def _span(self, token: Token, kind: str) -> tuple[int, int, str]:
+        value = self._inside(token)
+        return token.inner + len(value) - len(value.lstrip()), token.outer - len(value) + len(value.rstrip()), kind
+
+    def _password(self, token: Token, sure: bool) -> bool:
+        value = self._inside(token).strip()
+        if not sure:
+            return not re.search(r"\s", value) and _random_looking(value) and not _holds_place(value)
+        return _written_out(value, True)
+
+    def _within(self, token: Token) -> Iterator[tuple[int, int, str]]:
+        """What a string holds that is itself an assignment: a connection string, a command, a document in a document."""
+        if re.search(r"[:=]|\s-", self._inside(token)):
+            inner = _Line(self.text, token.inner, min(token.outer, self.end))
+            for a, b, kind in inner.found():
+                if b <= token.outer:
+                    yield a, b, kind
+
+    def _arguments(self, at: int, name: str, words: list[str]) -> Iterator[tuple[int, int, str]]:
+        """Literals among the arguments of a call named for a secret: those by position; named ones are assignments."""
+        depth, n, setter = 0, at, words[0] in ("set", "with", "use")
+        while token := self.tokens[n]:
+            said = self.tokens.said(n)
+            if token.kind == "string" and depth == 1 and self.tokens.said(self._before(n)) in ("(", ",") and self.tokens.said(self.tokens.past(n + 1)) in (",", ")", "+"):
+                if _good_argument(name, self._inside(token).strip(), setter):
+                    yield self._span(token, "argument")
+            elif token.kind == "mark":
+                depth += (said in ("(", "[", "{")) - (said in (")", "]", "}"))
+                if depth <= 0 or said == ";":
+                    return
+            n += 1
+
+    def _before(self, n: int) -> int:
+        n -= 1
+        while n > 0 and self.tokens[n].kind == "line":
+            n -= 1
+        return n
+
+    def _assigned(self, name: str, sure: str, at: int, sign: str) -> Iterator[tuple[int, int, str]]:
+        t, after = self.tokens, at + 1
+        if sign in (":", "：", "=") and t.inside(after) and t[after].kind == "word" and t.said(after + 1) in ("=", ":="):
+            after += 2  # a type stands between the name and the value
+        line_end = not t.inside(after)
+        token = t[after]
+        if token is None:
+            return
+        if token.start >= self.end:
+            yield from self._on_next_lines(sure, after)
+            return
+        value = t.past(after)
+        opened = 0
+        while t.said(value) == "(" and opened < 3:
+            value, opened = t.past(value + 1), opened + 1
+        token = t[value]
+        if token and token.kind == "string":
+            good = self._password(token, sure != "likely")
+            if good and not (not line_end and t.said(value + 1) == "(") and not (token.start >= self.end and t.said(t.past(value + 1)) == ":"):
+                if sure != "sure" or sign.lower() not in _COPULAS or not re.search(r"\s", self._inside(token)):
+                    yield self._span(token, "named")
+            return
+        if sign == ":" and (m := _BLOCK.match(self.text[t[after].start : self.end])):
+            yield from self._block(sure, m)
+            return
+        if here := _HERE.search(self.text, t[after].start, self.end):
+            yield from self._here_document(sure, here["mark"])
+        if not opened and sure:
+            got = [*self._bare(name, sure, t[at].end, sign)]
+            yield from got
+            if got:
+                return
+        yield from self._fallback(sure, after)
+
+    def _bare(self, name: str, sure: str, at: int, sign: str) -> Iterator[tuple[int, int, str]]:
+        """A value without quotes on the line of its name."""
+        while at < self.end and self.text[at] in " \t":
+            at += 1
+        m = _BARE.match(self.text, at, self.end)
+        if not m:
+            return
+        value, after = m[0], self.text[m.end() : m.end() + 1]
+        if sure == "sure":
+            good = _written_out(value, False) and not (after in ("(", "["))
+            if not good and sign == "=" and (whole := _SHELL_LINE.match(self.text[self.start : self.end])) and whole["bare"] == value:
+                good = len(value) >= 6 and not _holds_place(value) and bool(re.search(r"\d", value) and re.search(r"[A-Za-z]{2}", value)) and not value.startswith("/")
+        else:
+            good = _random_looking(value) and not _holds_place(value) and after != "("
+        if good:
+            yield m.start(), m.end(), "named"
+
+    def _fallback(self, sure: str, n: int) -> Iterator[tuple[int, int, str]]:
+        """A literal that stands in for a missing variable: behind an ``or``, or the second argument of a look-up."""
+        t, depth, looked_up = self.tokens, 0, False
+        while t.inside(n):
+            token, said = t[n], t.said(n)
+            if token.kind == "mark":
+                depth += (said in ("(", "[", "{")) - (said in (")", "]", "}"))
+                if depth < 0 or said == ";" or depth == 0 and said == ",":
+                    return
+                looked_up = looked_up or said == "(" and t.said(n - 1).lower() in ("getenv", "get", "env", "getproperty", "environ")
+            elif token.kind == "string" and n and (t.said(n - 1).lower() in _ELSE or looked_up and t.said(n - 1) == "," and t.said(n + 1) == ")"):
+                value = self._inside(token)
+                if self._password(token, sure != "likely") and not re.fullmatch(r"[^\W\d_]*(?:[\s._:/-]+[^\W\d_]+)*[?!.:…]*", value):
+                    yield self._span(token, "named")
+            n += 1
+
+    def _on_next_lines(self, sure: str, n: int) -> Iterator[tuple[int, int, str]]:
+        """A literal on the line after a name and its sign, unless it is the key of another entry."""
+        value = self.tokens.past(n)
+        token = self.tokens[value]
+        if value != n + 1 or token is None or token.kind != "string" or self.tokens.said(self.tokens.past(value + 1)) in (":", "=>", "="):
+            return
+        if self._password(token, sure != "likely"):
+            yield self._span(token, "named")
+
+    def _block(self, sure: str, opened: re.Match) -> Iterator[tuple[int, int, str]]:
+        m = _BLOCK_LINE.match(self.text, self.end)
+        if m and (_written_out(m["first"], False) if sure == "sure" else _random_looking(m["first"]) and not _holds_place(m["first"])):
+            last = m.end("first")
+            while more := re.compile(rf"[ \t]*\r?\n{m['indent']}[ \t]*\S+(?=[ \t]*\r?(?:\n|\Z))").match(self.text, last):
+                last = more.end()
+            yield m.start("first"), last, "named"
+
+    def _here_document(self, sure: str, mark: str) -> Iterator[tuple[int, int, str]]:
+        """Lines of one word each; longer ones are prose or code."""
+        m = re.compile(rf"\n[ \t]*(?P<lines>(?P<first>\S+)(?:[ \t]*\r?\n[ \t]*(?!{mark}\b)\S+)*)[ \t]*\r?\n[ \t]*{mark}\b").match(self.text, self.end)
+        if m and (_written_out(m["first"], True) if sure == "sure" else _random_looking(m["first"]) and not _holds_place(m["first"])):
+            yield *m.span("lines"), "named"
+
+    def _in_tag(self, token: Token) -> Iterator[tuple[int, int, str]]:
+        """The text of an element named for a secret, and its attributes, which are assignments like any other."""
+        said = self.text[token.start + 1 : token.end - 1]
+        name, _, rest = said.partition(" ")
+        sure = _credential_name(name) if not said.startswith("/") else ""
+        if sure and (m := _XML_VALUE.match(self.text, token.end)):
+            value = m["value"]
+            if _written_out(value, True) and not re.search(r"\s", value) if sure == "sure" else _random_looking(value) and not _holds_place(value):
+                yield m.start("value"), m.end("value"), "named"
+        if "=" in rest:
+            for a, b, kind in _Line(self.text, token.start + 1 + len(name), token.end - 1).found():
+                if b < token.end:
+                    yield a, b, kind
+
+
+def _in_line(text: str, start: int, end: int) -> Iterator[Secret]:
+    for a, b, kind in (*_issued_and_carried(text, start, end, text[start:end]), *_Line(text, start, end).found()):
+        parts, last = [*_parts(text, a, b)], b
+        while last < len(text) and text[last] in "\"'`" and (more := _FOLLOW.match(text, last + 1)) and re.fullmatch(r"[\w+/=.~-]+", more[2]) and not _ENTRY.match(text, more.end()):
+            parts.append(more.span(2))
+            last = more.end(2)
+        yield Secret(a, last, kind, tuple(parts))
 
 
 def find_secrets(text: str | None) -> list[Secret]:

@@ -63,6 +63,34 @@ def test_arguments_next_lines_and_pass(text, secret, line):
     assert C.secret_lines(text) == [line] and C.redact(text) == text.replace(secret, C.REDACTED)
 
 
+SEEN = "Xk29-qLm!"
+STATEMENTS = [
+    f'password = (\n "{SEEN}"\n)', f'"password":\n "{SEEN}"', f'PASSWORD = """{SEEN}"""', f'password = """\n{SEEN}\n"""', f'connect(\n  user="a",\n  password="{SEEN}",\n)', f'conn.password("{SEEN}")', f"<password>{SEEN}</password>",
+    f"CREATE USER x IDENTIFIED BY '{SEEN}';", f'pw = "{SEEN}"', f'const password: string = "{SEEN}"', f'password: process.env.PW || "{SEEN}"', f'pw = os.getenv("PW", "{SEEN}")', f'let s = r#"password={SEEN}"#', f'<add key="x" password="{SEEN}" />',
+    f"PASSWORD=$(cat <<EOF\n{SEEN}\nEOF\n)", f"don't set password = '{SEEN}' it's bad", f"// 测试环境密码是 {SEEN}\n}}", f"password: >-\n  {SEEN}\nuser: x", f"config['db']['password'] = '{SEEN}'", f'std::string password = R"({SEEN})";',
+]
+
+
+@pytest.mark.parametrize("text", STATEMENTS)
+def test_literals_of_every_kind_and_place(text):
+    assert C.redact(text) == text.replace(SEEN, C.REDACTED)
+
+
+def test_shell_words_pass_phrases_and_blocks():
+    assert C.redact("export DB_PASSWORD=hunter2horse") == "export DB_PASSWORD=REDACTED" and C.redact("DB_PASSWORD=postgres\nPATH_PW=/etc/pw2") == "DB_PASSWORD=postgres\nPATH_PW=/etc/pw2"
+    assert C.redact('password="correct horse battery"') == 'password="REDACTED REDACTED REDACTED"' and C.redact('password="must not be empty"') == 'password="must not be empty"'
+    assert C.redact(f"password: |\n  {SEEN}\n  more2-part\nb: 2") == "password: |\n  REDACTED\n  REDACTED\nb: 2"
+    assert C.redact('"token": "AKIA' + 'ABCDEFGHIJKLMNOP"\n  "x-api-key": 1') == '"token": "REDACTED"\n  "x-api-key": 1'
+
+
+def test_lexer_reads_everything_once():
+    from sparkweft.llm.lexer import tokens
+
+    for text in ("a = 'it\\'s' # \"no\n'''x\ny''' `t\nu` r#\"q\"# R\"f(a)f\" 1.5 <b c='d'>e</b>", "don't 'open\n\"", "", "'\\", "x\\\ny"):
+        got = list(tokens(text))
+        assert all(a.end <= b.start for a, b in zip(got, got[1:])) and all(not text[a.end : b.start].strip("\\ \t\r\n") for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("text", ['getPassword("db-prod-01")', 't("password", "Enter password")', 'f("password", "username")', "password:\n  minLength: 8", 'password:\n  "type": "string"', "def f():\n    pass", 'put("db.password", "${DB_PW}")'])
 def test_arguments_that_are_no_secrets(text):
     assert C.find_secrets(text) == []
