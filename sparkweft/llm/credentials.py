@@ -42,7 +42,11 @@ _ENTRY = re.compile(r"\s*(?:[:=]|=>)")
 _BLOCK_LINE = re.compile(r"\n(?:[ \t]*\r?(?=\n))*(?P<indent>[ \t]+)(?P<first>\S+)[ \t]*\r?(?=\n|\Z)")
 _HERE = re.compile(r"""<<[-~]?\s*["']?(?P<mark>[A-Za-z_]\w*)["']?""")
 #: A line of an environment file or of a shell, where a word is a value whatever it looks like.
-_SHELL_LINE = re.compile(r"\s*(?:export\s+|set\s+|ENV\s+|[-*]\s+)?[A-Z][A-Z0-9_]*=(?P<bare>[^\s\"'`$;]+)\s*\Z")
+_SHELL_LINE = re.compile(r"\s*(?:export\s+|set\s+|ENV\s+|[-*]\s+)?(?:[A-Z][A-Z0-9_]*|[A-Za-z]\w*(?:[.-]\w+)+)=(?P<bare>[^\s\"'`$;]+)\s*\Z")
+#: A connection string, where a value ends at a semicolon.
+_CONNECTION = re.compile(r"(?i)\b(?:uid|user|user ?id|username|server|host|data source|database)\s*=[^;\n]*;")
+#: Words by which notes and login files hand over a password, with the value behind them at the line's end.
+_TOLD = re.compile(r"(?i)(?<![\w.-])(?:(?:login|account)[ \t]+\S+[ \t]+password|pass|pwd|pw|passcode|(?:login|log-?on|creds?|credentials?|access)[ \t]+(?:for|to|on|of)[ \t]+[\w.-]+[ \t]*[:=]|(?:zugang|zugangsdaten)[ \t]+(?:für|zu)[ \t]+[\w.-]+[ \t]*[:=])[ \t]+(?P<value>[^\s\"'`,;<>(){}\[\]][^\s\"'`;,<>()\[\]]*)[ \t]*(?:\*/|-->)?[ \t]*\r?\Z")
 _XML_VALUE = re.compile(r"\s*(?P<value>[^<>\s][^<>\n]*?)\s*</")
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
@@ -78,7 +82,7 @@ def _anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word in (
         "pass", "kennwort", "pwd", "psw", "identified by", "pw ", "pw=", "pw:", "pw\"", "pw'", "密码", "口令", "密钥", "пароль", "contrase", "heslo",
-        "secret", "token", "key", "credential", "session", "sid", "auth", "bearer", "sig", "jwt", "cookie", "hook", "private key", "://", "akia", "asia", "ghp_", "gho_", "ghu_",
+        "secret", "token", "key", "credential", "session", "sid", "auth", "bearer", "sig", "jwt", "cookie", "hook", "private key", "login", "creds", "zugang", "://", "akia", "asia", "ghp_", "gho_", "ghu_",
         "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "xox", "npm_", "pypi-", "sk-", "aiza", "hf_", "sg.", "dop_v1_", "eyj", " -u ", "--user", " -p", "pin",
     ):
         found.add_word(word, len(word))
@@ -120,6 +124,11 @@ def _pass_phrase(value: str) -> bool:
     return 3 <= len(words) <= 8 and all(re.fullmatch(r"[a-z]{2,12}", w) for w in words) and not _SPOKEN.intersection(words) and len(set(words)) == len(words)
 
 
+def _mixed(value: str) -> bool:
+    """Letters with digits or other signs among them, as in no ordinary word."""
+    return len(value) >= 6 and bool(re.search(r"[^\W\d_]{2}", value) and re.search(r"[\d#%$&*?!@^~+=]", value.rstrip("?!.")))
+
+
 def _written_out(value: str, quoted: bool) -> bool:
     """Whether the value of a password-like name is the password itself rather than a word for it, a type or a variable."""
     if len(value) < 4 or _holds_place(value) or value.isdigit() and len(value) < 6 or re.fullmatch(r"(?:~|\.{0,2})(?:/[\w.-]+){2,}", value):
@@ -205,6 +214,8 @@ def _issued_and_carried(text: str, start: int, end: int, line: str) -> Iterator[
             if _random_looking(pair[1]) and not _holds_place(pair[1]):
                 a = start + m.start("pairs") + pair.start(1)
                 yield a, a + len(pair[1]), "cookie"
+    if (m := _TOLD.search(line)) and _mixed(m["value"]) and _written_out(m["value"], True):
+        yield start + m.start("value"), start + m.end("value"), "told"
     for m in _LOGIN.finditer(line) if "-p" in line or "-u" in line else ():
         group = "secret" if m["secret"] else "passed"
         if _written_out(m[group], True):
@@ -345,8 +356,10 @@ class _Line:
         value, after = m[0], self.text[m.end() : m.end() + 1]
         if sure == "sure":
             good = _written_out(value, False) and not (after in ("(", "["))
-            if not good and sign == "=" and (whole := _SHELL_LINE.match(self.text[self.start : self.end])) and whole["bare"] == value:
-                good = len(value) >= 6 and not _holds_place(value) and bool(re.search(r"\d", value) and re.search(r"[A-Za-z]{2}", value)) and not value.startswith("/")
+            if not good and sign == "=":
+                line = self.text[self.start : self.end]
+                literal = (whole := _SHELL_LINE.match(line)) and whole["bare"] == value or after in (";", '"', "'", "") and _CONNECTION.search(line)
+                good = bool(literal) and _mixed(value) and _written_out(value, True)
         else:
             good = _random_looking(value) and not _holds_place(value) and after != "("
         if good:

@@ -83,6 +83,16 @@ def test_shell_words_pass_phrases_and_blocks():
     assert C.redact('"token": "AKIA' + 'ABCDEFGHIJKLMNOP"\n  "x-api-key": 1') == '"token": "REDACTED"\n  "x-api-key": 1'
 
 
+@pytest.mark.parametrize("text", ["// root pass emJ7XdN0xOZX", "login for staging: kong-nend-trigger18", "machine h login me password fyiwJW6zzTBG", "Server=x;Uid=u;Pwd=RYkoyLsz9LGL;", "smtp.password=nenR8cakVhpI"])
+def test_notes_and_formats_whose_values_are_literal(text):
+    assert len(C.find_secrets(text)) == 1
+
+
+@pytest.mark.parametrize("text", ["def f():\n    pass  # 2nd", "the first pass over\n", "we pass it 2 times", "# one more pass 4711", "access to production: denied", "login for users: see docs2/login.md and more"])
+def test_words_that_hand_over_nothing(text):
+    assert C.find_secrets(text) == []
+
+
 def test_lexer_reads_everything_once():
     from sparkweft.llm.lexer import tokens
 
