@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweft.sources.tables import checkpointed, written
@@ -94,44 +95,74 @@ class Signer:
         x, owner = x[new], owner[new]
         return np.array(rows), x, np.searchsorted(owner, np.arange(len(rows)))
 
-    def sign(self, texts: list[str | None], depth: int):
-        """Rows, number of shingles, two hashes of the shingle set, and the trie node at ``depth`` of every tree."""
+    def sign(self, texts: list[str | None]):
+        """Rows, number of shingles, two hashes of the shingle set, and the signature: per tree the path of ``deepest``
+        values of two bytes, so that paths compare as byte strings do."""
         rows, x, starts = self.shingles(texts)
         if not len(rows):
-            return rows, starts, starts, starts, np.zeros((0, self.trees), np.int64)
+            return rows, starts, starts, starts, np.zeros((0, self.trees * self.deepest), ">u2")
         counts = np.diff(np.append(starts, len(x)))
         one, two = np.add.reduceat(x, starts), np.add.reduceat(_mixed(x ^ _MIX[0]), starts)
         short, buffer = (x >> np.uint64(32)).astype(np.uint32), np.empty(len(x), np.uint32)
-        nodes = np.empty((len(rows), self.trees), np.uint64)
-        for tree in range(self.trees):
-            node = np.full(len(rows), tree + 1, np.uint64)
-            for level in range(depth):
-                n = tree * self.deepest + level
-                np.multiply(short, self.times[n], out=buffer)
-                np.add(buffer, self.plus[n], out=buffer)
-                node = _mixed(node * _MIX[0] + np.minimum.reduceat(buffer, starts))
-            nodes[:, tree] = node
-        return rows, counts, one.view(np.int64), two.view(np.int64), nodes.view(np.int64)
+        values = np.empty((len(rows), self.trees * self.deepest), np.uint64)
+        for n in range(self.trees * self.deepest):
+            np.multiply(short, self.times[n], out=buffer)
+            np.add(buffer, self.plus[n], out=buffer)
+            values[:, n] = np.minimum.reduceat(buffer, starts)
+        return rows, counts, one.view(np.int64), two.view(np.int64), (_mixed(values * _MIX[0] + np.uint64(1)) >> np.uint64(48)).astype(">u2")
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
 
 
-def signatures(df: DataFrame, key: str, text: str, signer: dict, depth: int) -> DataFrame:
-    """``(id, size, one, two, nodes)`` of every row whose text has words enough: ``one`` and ``two`` hash the shingle
-    set, so copies have equal ones; ``nodes`` has the trie node of each tree. Nothing is shuffled."""
+def signatures(df: DataFrame, key: str, text: str, signer: dict) -> DataFrame:
+    """``(id, size, one, two, paths)`` of every row whose text has words enough: ``one`` and ``two`` hash the shingle
+    set, so copies have equal ones; ``paths`` has the path in each tree, one after another. Of copies that a task meets
+    only the first has its paths, so a text that fills a third of the table is in its nodes once per task. Nothing is
+    shuffled."""
+    width = 2 * signer["trees"] * signer["deepest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signer(**signer)
+        sign, met = Signer(**signer), set()
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
-                rows, sizes, one, two, nodes = sign.sign(batch.column("text").to_pylist(), depth)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * sign.trees), pa.array(nodes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["id", "size", "one", "two", "nodes"])
+                rows, sizes, one, two, values = sign.sign(batch.column("text").to_pylist())
+                data, paths = values.tobytes(), []
+                for n, copy in enumerate(zip(one.tolist(), two.tolist())):
+                    paths.append(None if copy in met else data[n * width : (n + 1) * width])
+                    met.add(copy)
+                if len(met) > _KEPT_WORDS:
+                    met.clear()
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(paths, pa.binary())], ["id", "size", "one", "two", "paths"])
 
     rows = df.select(df[key].cast("long").alias("id"), df[text].alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= 2 * signer["least_words"] - 1))
-    return rows.mapInArrow(run, "id long, size int, one long, two long, nodes array<long>")
+    return rows.mapInArrow(run, "id long, size int, one long, two long, paths binary")
+
+
+def forest(signed: DataFrame, trees: int, deepest: int, shortest: int) -> DataFrame:
+    """``(node, rest, one, members)``: the sorted tries down from the prefixes of ``shortest`` values that several classes
+    share. ``rest`` is the path below the node, in order, so that neighbours have the longest prefixes in common.
+
+    One shuffle brings each node together in the order of its paths; a node that only one class is in is dropped there.
+    """
+    step = F.expr(f"explode(sequence(0, {trees - 1}))")
+    rows = signed.where("paths IS NOT NULL").select("one", "paths", step.alias("tree"))
+    path = lambda at, n: F.substring(F.col("paths"), F.col("tree") * 2 * deepest + 1 + 2 * at, F.lit(2 * n))
+    rows = rows.select(F.xxhash64("tree", path(0, shortest)).alias("node"), path(shortest, deepest - shortest).alias("rest"), "one")
+    within = W.partitionBy("node")
+    rows = rows.withColumn("low", F.min("one").over(within)).withColumn("high", F.max("one").over(within)).withColumn("members", F.count("*").over(within))
+    return rows.where("low <> high").select("node", "rest", "one", "members").distinct()
+
+
+def met_pairs(nodes: DataFrame, deepest: int, shortest: int) -> DataFrame:
+    """``(x, y, depth)``: the pairs of classes that share a node, with the length of the longest prefix that they share in
+    any tree."""
+    a, b = nodes.select("node", F.col("rest").alias("rest_x"), F.col("one").alias("x")), nodes.select("node", F.col("rest").alias("rest_y"), F.col("one").alias("y"))
+    depth = F.lit(shortest)
+    for n in range(1, deepest - shortest + 1):
+        depth = depth + (F.substring("rest_x", 1, 2 * n) == F.substring("rest_y", 1, 2 * n)).cast("int")
+    return a.join(b, "node").where("x < y").select("x", "y", depth.alias("depth")).groupBy("x", "y").agg(F.max("depth").alias("depth"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -174,8 +205,6 @@ def _rare_shingle_pairs(texts: DataFrame, signer: dict, threshold: float) -> Dat
                 ids = np.repeat(np.array(batch.column("id").to_pylist(), np.int64)[rows], sizes) if len(rows) else np.array([], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(x.view(np.int64))], ["id", "size", "x"])
 
-    from pyspark.sql import Window as W
-
     rows = written(texts.select("id", "text").mapInArrow(run, "id long, size int, x long"), "shingles")
     common = rows.groupBy("x").agg(F.count("*").alias("docs")).where("docs > 1")
     order = W.partitionBy("id").orderBy(F.coalesce("docs", F.lit(1)), "x")
@@ -188,50 +217,55 @@ def _rare_shingle_pairs(texts: DataFrame, signer: dict, threshold: float) -> Dat
 
 def similar_classes(
     df: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.8, shingle: int = 5, least_words: int = 0,
-    trees: int = 24, deepest: int = 8, recall: float = 0.998, crowd: int = 256,
+    trees: int = 24, deepest: int = 8, recall: float = 0.998, overall: float = 0.9995, crowd: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)``: the pairs ``(a, b, similarity)`` of classes of equal shingle sets whose similarity reaches
     the threshold, each class named by its least id, and ``(id, class, copies)`` of every row with words enough.
 
-    MinHash LSH forest: a signature is a path in each of ``trees`` prefix tries; texts that share a node are candidates.
-    The prefix starts at the whole path and is shortened until a pair just at the threshold is met with the target
-    ``recall``; then candidates are verified exactly. If the pairs found show a lower recall (each stands for 1 / the
-    chance of meeting a pair that similar), the prefix is shortened further.
+    MinHash LSH forest: a text is signed once, its signature being a path in each of ``trees`` sorted prefix tries. Pairs
+    are verified exactly in the order of the longest prefix that they share: first those with whole paths in common, then
+    the matched prefix is shortened by one value after another. Each pair found stands for 1 / the chance of meeting a
+    pair that similar at this length; once the pairs found are ``overall`` of those so expected, shorter prefixes aren't
+    looked at. At the latest it ends at the length at which a pair just at the threshold is met with chance ``recall``.
 
-    Copies meet as one class, and nodes are pre-aggregated before they are shuffled, so a third of all rows being copies
-    costs no more than one class. Texts in a node of more than ``crowd`` classes don't pair up there but are compared by
-    their rarest shingles, which loses no pair. Rows without a key, and null or short texts, have no class; repeated keys
-    count once; extra columns are ignored; an empty table gives empty results.
+    Copies meet as one class, so a third of all rows being copies costs no more than one class. In a node of more than
+    ``crowd`` classes pairs aren't listed; its texts are compared by their rarest shingles instead, which is exact: it
+    finds every pair of them that reaches the threshold, whatever the prefix. Rows without a key, and null or short
+    texts, have no class; repeated keys count once; extra columns are ignored; an empty table gives empty results.
     """
     signer = {"shingle": shingle, "trees": trees, "deepest": deepest, "least_words": least_words}
-    depth = forest_depth(threshold, trees, deepest, recall)
-    while True:
-        signed = written(signatures(df, key, text, signer, depth), "signatures")
-        classes = signed.groupBy("one", "two").agg(F.min("id").alias("class"), F.min("size").alias("size"), F.count_distinct("id").alias("copies"))
-        steps = signed.select("one", F.explode("nodes").alias("node"))
-        shared = steps.groupBy("node").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low <> high").select("node")
-        meeting = checkpointed(steps.join(shared, "node", "left_semi").select("one", "node").distinct())
-        crowded = checkpointed(meeting.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("node"))
-        calm = meeting if crowded.isEmpty() else meeting.join(crowded, "node", "left_anti").select("one", "node")
-        met = calm.toDF("x", "node").join(calm.toDF("y", "node"), "node").where("x < y").select("x", "y").distinct()
-        named = classes.select("one", "class", "size")
-        near = F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * threshold - 1e-9
-        pairs = met.join(named.toDF("x", "class_x", "size_x"), "x").join(named.toDF("y", "class_y", "size_y"), "y").where(near).select("class_x", "class_y")
-        alike = classes.groupBy("one").agg(F.min("class").alias("class_x"), F.max("class").alias("class_y")).where("class_x <> class_y")
-        pairs = pairs.unionByName(alike.select("class_x", "class_y"))
-        candidates = pairs.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b"))
-        if not crowded.isEmpty():
-            packed = meeting.join(crowded, "node", "left_semi").select("one").distinct()
-            ids = classes.join(packed, "one", "left_semi").select(F.col("class").alias("id"))
-            candidates = candidates.unionByName(_rare_shingle_pairs(_texts_of(df, key, text, ids), signer, threshold))
-        candidates = checkpointed(candidates.distinct())
-        ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        found = checkpointed(_verified(candidates, _texts_of(df, key, text, ids), shingle, threshold))
-        chance = 1 - F.pow(1 - F.pow(F.col("similarity"), depth), trees)
-        seen, expected = found.agg(F.count("*"), F.sum(1 / chance)).first()
-        if depth == 1 or seen >= recall * (expected or 0):
-            break
-        depth -= 1
+    shortest = forest_depth(threshold, trees, deepest, recall)
+    signed = written(signatures(df, key, text, signer), "signatures")
+    classes = signed.groupBy("one", "two").agg(F.min("id").alias("class"), F.min("size").alias("size"), F.count_distinct("id").alias("copies"))
+    nodes = written(forest(signed, trees, deepest, shortest), "forest")
+    crowded = nodes.where(F.col("members") > crowd).select("one").distinct()
+    met = met_pairs(nodes.where(F.col("members") <= crowd), deepest, shortest)
+    named = classes.select("one", "class", "size")
+    near = F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * threshold - 1e-9
+    pairs = met.join(named.toDF("x", "class_x", "size_x"), "x").join(named.toDF("y", "class_y", "size_y"), "y").where(near).select("class_x", "class_y", "depth")
+    alike = classes.groupBy("one").agg(F.min("class").alias("class_x"), F.max("class").alias("class_y")).where("class_x <> class_y")
+    pairs = pairs.unionByName(alike.select("class_x", "class_y", F.lit(deepest).alias("depth")))
+    candidates = pairs.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b"), "depth")
+    if not crowded.isEmpty():
+        ids = classes.join(crowded, "one", "left_semi").select(F.col("class").alias("id"))
+        exact = _rare_shingle_pairs(_texts_of(df, key, text, ids), signer, threshold)
+        candidates = candidates.unionByName(exact.withColumn("depth", F.lit(deepest))).groupBy("a", "b").agg(F.max("depth").alias("depth"))
+    candidates = checkpointed(candidates)
+    waiting = {r.depth: r.n for r in candidates.groupBy("depth").agg(F.count("*").alias("n")).collect()}
+    found = None
+    for depth in range(deepest, shortest - 1, -1):
+        if waiting.get(depth):
+            todo = candidates.where(F.col("depth") == depth)
+            ids = todo.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            more = checkpointed(_verified(todo.select("a", "b"), _texts_of(df, key, text, ids), shingle, threshold))
+            found = more if found is None else found.unionByName(more)
+        if found is not None and depth > shortest and sum(n for d, n in waiting.items() if d < depth):
+            chance = 1 - F.pow(1 - F.pow(F.col("similarity"), depth), trees)
+            seen, expected = found.agg(F.count("*"), F.sum(1 / chance)).first()
+            if seen and seen >= overall * expected:
+                break
+    if found is None:
+        found = candidates.select("a", "b", F.lit(0.0).alias("similarity")).limit(0)
     members = signed.select("id", "one", "two").distinct().join(classes, ["one", "two"]).select("id", "class", "copies")
     return found, members
 

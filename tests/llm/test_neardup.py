@@ -84,6 +84,36 @@ def test_depth_is_shortened_until_the_recall_is_reached():
     assert neardup.forest_depth(0.1, 2, 8, 0.999) == 1
 
 
+def edited(draw, base, edits):
+    copy = list(base)
+    for at in draw.sample(range(len(copy)), edits):
+        copy[at] = f"new{draw.randrange(10**6)}"
+    return " ".join(copy)
+
+
+def looks(spark, monkeypatch, texts, **how):
+    """The pairs found, and how many times candidates of a shorter prefix were verified."""
+    calls, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda *a: calls.append(1) or verified(*a))
+    pairs, members = neardup.similar_classes(spark.createDataFrame(list(enumerate(texts, 1)), "id long, text string"), **{**HOW, **how})
+    return {tuple(r) for r in neardup.similar_pairs(pairs, members).collect()}, len(calls)
+
+
+def test_prefixes_are_shortened_only_until_the_recall_is_reached(spark, monkeypatch):
+    draw = random.Random(11)
+    bases = [[f"w{draw.randrange(5000)}" for _ in range(120)] for _ in range(40)]
+    close = [t for b in bases for t in (" ".join(b), edited(draw, b, 1))]
+    found, once = looks(spark, monkeypatch, close)
+    assert found == brute(enumerate(close, 1)) and len(found) == 40 and once == 1  # whole paths find them all
+    far = [t for b in bases for t in (" ".join(b), edited(draw, b, 6))]
+    want = brute(enumerate(far, 1))
+    found, steps = looks(spark, monkeypatch, far)
+    assert len(want) > 30 and steps > 1 and len(found & want) >= 0.998 * len(want) and found <= want
+    monkeypatch.undo()
+    some, _ = looks(spark, monkeypatch, far, overall=0.0)
+    assert some < want  # whole paths alone miss some, so the steps did find them
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, text string")
     pairs, members = neardup.similar_classes(df, **HOW)
