@@ -12,11 +12,11 @@ MINIFIED = ";".join(f"var a{n}=b.c{n},d=a{n}?{n}:e[{n}]" for n in range(60))
 
 
 def test_headers():
-    for text in ("// Code generated by x. DO NOT EDIT.\nx", "# @generated from a", "/** AUTOGENERATED b (c) */", "// <auto-generated>", "# 此文件由 x 工具自动生成，请勿手工修改", "-- Automatisch erzeugt aus a.xml", "\n\n// machine-made by x2y, run `make`", "# Generated by the x compiler from y.proto -- changes will be lost"):
+    for text in ("// Code generated by x. DO NOT EDIT.\nx", "# @generated from a", "/** AUTOGENERATED b (c) */", "// <auto-generated>", "# 此文件由 x 工具自动生成，请勿手工修改", "-- Automatisch erzeugt aus a.xml", "\n\n// machine-made by x2y, run `make`", "# Generated by the x compiler from y.proto -- changes will be lost", "# This file is automatically @generated by Cargo.", "// produced by protobuf-gen, edits are overwritten", "/* This header was exported from x.idl. Never touch it */"):
         assert provenance.header_says(text) == "generated", text
-    for text in ("# Vendored from x 1.2", "// This is an unmodified copy of a/b.ts", "/*! x.js v1 | (c) the X authors | MIT */", "/**\n * @license X\n * Copyright (c) 2019 X contributors\n */"):
+    for text in ("# Vendored from x 1.2", "// Copied verbatim from a/b 2.1", "# third-party code, see LICENSE", "-- taken unchanged from x", "// This is an unmodified copy of a/b.ts", "/*! x.js v1 | (c) the X authors | MIT */", "/**\n * @license X\n * Copyright (c) 2019 X contributors\n */"):
         assert provenance.header_says(text) == "vendored", text
-    for text in ("export const B = '// Code generated by x. DO NOT EDIT.'", '// the emitter puts "DO NOT EDIT" above X, this file itself is written by hand', "// rewritten from scratch, not vendored; replaces the copy of x", "// helpers for the generated x: reads @generated marks and skips them", "// rebuilds the cache", "", "x\n" * 30 + "// Code generated by x. DO NOT EDIT."):
+    for text in ("export const B = '// Code generated by x. DO NOT EDIT.'", '// the emitter puts "DO NOT EDIT" above X, this file itself is written by hand', "// rewritten from scratch, not vendored; replaces the copy of x", "// helpers for the generated x: reads @generated marks and skips them", "// rebuilds the cache", "// This pivot is written by the scheduler", "# Written by A. Author, 2019", "# ported from memory, no upstream known", "// lists the @generated files of a tree", '# says "do not edit" and means it', "", "x\n" * 30 + "// Code generated by x. DO NOT EDIT."):
         assert provenance.header_says(text) == "", text
 
 
@@ -56,6 +56,21 @@ def test_copies_across_repositories_are_vendored(spark):
     got = {r.path: r.origin for r in provenance.file_origins(sources, chunks).collect()}
     assert {p for p, o in got.items() if o == "vendored"} == {f"src/x{n}.ts" for n in range(6)}
     assert "vendored" not in {r.origin for r in provenance.file_origins(sources, chunks, repositories=7).collect()}
+    assert {r.path for r in provenance.file_origins(sources, chunks, markers=False).where("origin = 'vendored'").collect()} == {f"src/x{n}.ts" for n in range(6)}
+
+
+def test_copies_of_prose_and_copies_before_marks(spark):
+    words = " ".join(f"word{n * n % 97} is here" for n in range(80))
+    files = [(n, f"docs/x{n}.md" if n % 2 else f"gen/x{n}.md", f"/srv/kb/r{n}/") for n in range(4)]
+    sources = spark.createDataFrame([(i, p, r + p) for i, p, r in files], "id long, path string, abs_path string")
+    chunks = spark.createDataFrame([(i, i, None, 0, words) for i, p, _ in files], "id long, source_id long, path string, ordinal int, text string")
+    assert {r.origin for r in provenance.file_origins(sources, chunks).collect()} == {"vendored"}
+
+
+def test_long_lines_of_prose_without_a_chunk_path(spark):
+    sources = spark.createDataFrame([(1, "notes/a.md", "/srv/kb/r1/notes/a.md"), (2, "src/a.js", "/srv/kb/r1/src/a.js")], "id long, path string, abs_path string")
+    chunks = spark.createDataFrame([(i, i, None, 0, MINIFIED) for i in (1, 2)], "id long, source_id long, path string, ordinal int, text string")
+    assert {r.path: r.origin for r in provenance.file_origins(sources, chunks).collect()} == {"notes/a.md": "hand-written", "src/a.js": "minified"}
 
 
 def test_a_passage_in_two_chunks_counts_once(spark):
