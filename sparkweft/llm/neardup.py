@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkweft.sources.tables import checkpointed, written
+from sparkweft.sources.tables import checkpointed, with_keys, written
 
 _WORD = re.compile(r"[^\W_]+")
 _SLICE, _KEPT_WORDS = 512, 500_000
@@ -187,8 +187,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float
 
 
 def _texts_of(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the given ids, once each; the texts of others stay where they are."""
     rows = df.select(df[key].cast("long").alias("id"), df[text].alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    return with_keys(rows, "id", ids).groupBy("id").agg(F.max("text").alias("text"))
 
 
 def _rare_shingle_pairs(texts: DataFrame, signer: dict, threshold: float) -> DataFrame:
@@ -252,12 +253,14 @@ def similar_classes(
         candidates = candidates.unionByName(exact.withColumn("depth", F.lit(deepest))).groupBy("a", "b").agg(F.max("depth").alias("depth"))
     candidates = checkpointed(candidates)
     waiting = {r.depth: r.n for r in candidates.groupBy("depth").agg(F.count("*").alias("n")).collect()}
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(_texts_of(df, key, text, ids), "texts") if waiting else None
     found = None
     for depth in range(deepest, shortest - 1, -1):
         if waiting.get(depth):
             todo = candidates.where(F.col("depth") == depth)
             ids = todo.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            more = checkpointed(_verified(todo.select("a", "b"), _texts_of(df, key, text, ids), shingle, threshold))
+            more = checkpointed(_verified(todo.select("a", "b"), with_keys(texts, "id", ids), shingle, threshold))
             found = more if found is None else found.unionByName(more)
         if found is not None and depth > shortest and sum(n for d, n in waiting.items() if d < depth):
             chance = 1 - F.pow(1 - F.pow(F.col("similarity"), depth), trees)
