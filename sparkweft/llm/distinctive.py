@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.sources.tables import written
+from sparkweft.sources.tables import once_per_key, with_keys, written
 
 _TERM = re.compile(r"[^\W_]{3,}")
 _SLICE, _HELD = 512, 150_000
@@ -24,46 +24,44 @@ def terms_of(text: str | None) -> list[str]:
     return _TERM.findall(text.lower()) if text else []
 
 
-def _weighted(chunks: DataFrame) -> DataFrame:
-    """``(id, text, share)``: rows that repeat an id share its weight, so each id counts once without moving any text."""
-    rows = chunks.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-    again = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", (1 / F.col("n")).alias("share"))
-    return rows.join(again, "id", "left").select("id", "text", F.coalesce("share", F.lit(1.0)).alias("share"))
+def _once(chunks: DataFrame) -> DataFrame:
+    return once_per_key(chunks.select(F.col("id").cast("long").alias("id"), "text"), "id")
 
 
 def term_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(term, df, ctf)`` of every term, the number of chunks that hold it and how often it occurs in all, and one row
     ``(chunks, terms)`` with the number of all chunks and of all occurrences.
 
-    Terms are counted within each partition before they are shuffled, so a common one costs a row per partition.
+    Terms are counted within each partition before they are shuffled, so a common one costs a row per partition. Texts
+    aren't moved but for those of ids that occur again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: dict[str, float] = {}
-        ctf: dict[str, float] = {}
-        n, total = 0.0, 0.0
+        df: dict[str, int] = {}
+        ctf: dict[str, int] = {}
+        n, total = 0, 0
 
         def flush() -> pa.RecordBatch:
             terms = [None, *df]
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n, *df.values()], pa.float64()), pa.array([total, *ctf.values()], pa.float64())], ["term", "df", "ctf"])
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([total, *ctf.values()], pa.int64())], ["term", "df", "ctf"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
-                for text, share in zip(batch.column("text").to_pylist(), batch.column("share").to_pylist()):
-                    n += share
+                for text in batch.column("text").to_pylist():
+                    n += 1
                     counts = Counter(terms_of(text))
                     for term, tf in counts.items():
-                        df[term] = df.get(term, 0.0) + share
-                        ctf[term] = ctf.get(term, 0.0) + tf * share
-                    total += share * counts.total()
+                        df[term] = df.get(term, 0) + 1
+                        ctf[term] = ctf.get(term, 0) + tf
+                    total += counts.total()
                 if len(df) > _HELD:
                     yield flush()
-                    df, ctf, n, total = {}, {}, 0.0, 0.0
+                    df, ctf, n, total = {}, {}, 0, 0
         yield flush()
 
-    counted = _weighted(chunks).select("text", "share").mapInArrow(run, "term string, df double, ctf double")
-    summed = written(counted.groupBy("term").agg(F.round(F.sum("df")).cast("long").alias("df"), F.round(F.sum("ctf")).cast("long").alias("ctf")), "terms")
+    counted = _once(chunks).select("text").mapInArrow(run, "term string, df long, ctf long")
+    summed = written(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")), "terms")
     return summed.where("term IS NOT NULL"), summed.where("term IS NULL").select(F.col("df").alias("chunks"), F.col("ctf").alias("terms"))
 
 
@@ -105,15 +103,15 @@ def term_scores(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``(chunk_id, term, tf, df, score, tf_idf)`` of every pair of a chunk and a term that it holds.
 
     ``score`` is the log-likelihood ratio, ``tf_idf`` is tf · ln(N / df). The statistics always cover all chunks; with
-    ``only`` (a column ``chunk_id``) just those chunks are scored. Chunks count once per id (rows that repeat one share its
-    weight; of different texts under one id each counts in part, and the greatest is scored); null and empty texts count as chunks without terms; a null id
+    ``only`` (a column ``chunk_id``) just those chunks are scored. Chunks count once per id
+    (of different texts under one id the greatest); null and empty texts count as chunks without terms; a null id
     doesn't count; extra columns are ignored; an empty table gives no rows.
     """
     stats, totals = term_statistics(chunks)
-    rows = chunks.select("id", "text")
+    rows = chunks.select(F.col("id").cast("long").alias("id"), "text")
     if only is not None:
-        rows = rows.join(only.select(F.col("chunk_id").cast("long").alias("id")).distinct(), "id", "left_semi")
-    pairs = written(chunk_terms(rows.where("text IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))), "pairs")
+        rows = with_keys(rows, "id", only.select(F.col("chunk_id").cast("long").alias("id")))
+    pairs = written(chunk_terms(_once(rows)), "pairs")
     total = totals.first()
     n, terms = (total["chunks"], total["terms"]) if total else (0, 0)
     frequent = F.col("df") >= n / _FREQUENT

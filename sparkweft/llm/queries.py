@@ -138,12 +138,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_mix")
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_target"))
+    return mixing.mix_sources(read_table(spark, d, "documents", ["doc_id", "source", "text"], spread=True), read_table(spark, d, "mix_target"))
 
 
 @query("p9_shares")
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_target"))
+    return mixing.mix_report(read_table(spark, d, "documents", ["doc_id", "source", "text"], spread=True), read_table(spark, d, "mix_target"))
+
+
+@query("p9_shares_full")
+def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as the sources have: caps bind, and the report shows what falls short."""
+    return mixing.mix_report(read_table(spark, d, "documents", ["doc_id", "source", "text"], spread=True), read_table(spark, d, "mix_target"), fill=True)
 
 
 @query("p10_found")

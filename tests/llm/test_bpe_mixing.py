@@ -67,4 +67,6 @@ def test_a_larger_mix_falls_short_where_it_must(spark):
     target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGET)
     report = {r.source: r for r in mixing.mix_report(docs, target, total_tokens=2000).collect()}
     assert report["b"].rate == 2.0 and report["a"].rate == 1.0 and report["b"].actual_share < 0.25
+    full = {r.source: r for r in mixing.mix_report(docs, target, fill=True).collect()}
+    assert full["b"].capped and not full["a"].capped and full["b"].meant_share == 0.5 and full["b"].actual_share < 0.4 and full["b"].likely_error == 0
     assert mixing.mix_sources(docs.limit(0), target).count() == 0 and mixing.mix_sources(docs, target.limit(0)).count() == 0
