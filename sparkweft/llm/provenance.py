@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweft.sources.tables import written
@@ -161,15 +162,16 @@ def recurring_share(facts: DataFrame, files: DataFrame, least: Column) -> DataFr
     """``(source_id, prints, recurring)``: how many distinct fingerprints a file has, over all its chunks, and how many of
     them occur in at least so many repositories (null if none).
 
-    Fingerprints of a single file, which are nearly all, are dropped by a pre-aggregated minimum and maximum before
-    anything is joined; what is left is counted by repository.
+    Fingerprints of a single file, which are nearly all, are dropped where one shuffle brings equal ones together; what is
+    left is counted by repository, and the totals are summed up before they are moved.
     """
-    prints = facts.select("source_id", F.explode("prints").alias("print"))
-    shared = prints.groupBy("print").agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).where("a <> b").select("print")
-    rest = prints.join(shared, "print", "left_semi").distinct().join(files.select("source_id", "repository"), "source_id")
+    prints = facts.select("source_id", F.explode("prints").alias("print")).repartition("print").distinct()
+    within = W.partitionBy("print")
+    shared = prints.withColumn("a", F.min("source_id").over(within)).withColumn("b", F.max("source_id").over(within)).where("a <> b").select("source_id", "print")
+    rest = written(shared.join(files.select("source_id", "repository"), "source_id"), "shared-prints")
     wide = rest.groupBy("print", "repository").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("print")
     recurring = rest.join(wide, "print", "left_semi").groupBy("source_id").agg(F.count("*").alias("recurring"))
-    return prints.groupBy("source_id").agg(F.count_distinct("print").alias("prints")).join(recurring, "source_id", "left")
+    return prints.groupBy("source_id").agg(F.count("*").alias("prints")).join(recurring, "source_id", "left")
 
 
 def file_origins(sources: DataFrame, chunks: DataFrame, file_facts: DataFrame | None = None, repositories: int | None = None, markers: bool = True) -> DataFrame:
