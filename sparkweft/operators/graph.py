@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkweft.sources.tables import checkpointed
+from sparkweft.operators.merge import inner_edges
+from sparkweft.sources.tables import checkpointed, once_per_key
 
 _LOG = logging.getLogger(__name__)
 
@@ -94,8 +95,7 @@ def traverse(relations: DataFrame, seeds: DataFrame, hops: int = 2, direction: s
 def relations_among(relations: DataFrame, chosen: DataFrame, limit: int = 40) -> DataFrame:
     """``(qid, relation_id, rank)``: the heaviest edges with both ends among the nodes ``(qid, id)`` of a question."""
     edges = live_edges(relations).select(F.col("id").alias("relation_id"), "src_id", "dst_id", "weight")
-    nodes = chosen.select("qid", "id").distinct()
-    inner = edges.join(nodes.toDF("qid", "src_id"), "src_id").join(nodes.toDF("qid", "dst_id"), ["qid", "dst_id"])
+    inner = inner_edges(edges, chosen.select("qid", F.col("id").alias("member")), "qid")
     order = W.partitionBy("qid").orderBy(F.desc("weight"), "relation_id")
     return inner.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("qid", "relation_id", "rank")
 
@@ -108,7 +108,7 @@ def shown_chunks(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 def searchable_texts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     """``(id, text, shown)`` of the chunks that have a text, once per id; those of disabled sources aren't shown."""
     hidden = sources.where("state = 'disabled'").select(F.col("id").alias("source_id"), F.lit(False).alias("shown")).distinct()
-    rows = chunks.select("id", "source_id", "text").where("text IS NOT NULL").dropDuplicates(["id"]).join(hidden, "source_id", "left")
+    rows = once_per_key(chunks.select("id", "source_id", "text").where("text IS NOT NULL"), "id").join(hidden, "source_id", "left")
     return rows.select("id", "text", F.coalesce("shown", F.lit(True)).alias("shown"))
 
 
@@ -259,12 +259,12 @@ def changed_communities(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def summary_inputs(entities: DataFrame, relations: DataFrame, members: int = 8, edges: int = 8) -> DataFrame:
     """``(community_id, members, edges, top)``: what a summary is written from: the members of highest degree, the heaviest
-    inner edges as ``source type target``, and the first five names."""
+    edges among these members as ``source type target``, and the first five names."""
     inside = entities.where("community_id IS NOT NULL")
     order = W.partitionBy("community_id").orderBy(F.desc("degree"), "id")
     best = inside.withColumn("n", F.row_number().over(order)).where(F.col("n") <= members)
     names = best.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("members"))
-    ends = inside.select("id", "name", "community_id")
+    ends = best.select("id", "name", "community_id")
     among = live_edges(relations).join(ends.toDF("src_id", "s", "community_id"), "src_id").join(ends.toDF("dst_id", "o", "community_id"), ["dst_id", "community_id"])
     heavy = among.withColumn("n", F.row_number().over(W.partitionBy("community_id").orderBy(F.desc("weight"), "id"))).where(F.col("n") <= edges)
     lines = heavy.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(" ", "s", "type", "o").alias("line")))), lambda x: x["line"]).alias("edges"))

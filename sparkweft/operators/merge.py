@@ -45,12 +45,26 @@ def merge_relations(facts: DataFrame) -> DataFrame:
     )
 
 
+def inner_edges(edges: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """``(group, *edges)``: the edges with columns ``src_id`` and ``dst_id`` of which a group ``(group, member)`` has both
+    ends, once per group.
+
+    Each edge starts from the end that fewer groups have, and the other end is looked up by group and member together:
+    rows in between are bounded by the rarer end, so the edges of a hub cost what its neighbours cost.
+    """
+    seen = members.select(group, "member").distinct()
+    often = seen.groupBy("member").agg(F.count("*").alias("n"))
+    ends = edges.join(often.toDF("src_id", "_s"), "src_id").join(often.toDF("dst_id", "_o"), "dst_id")
+    start = F.col("_s") <= F.col("_o")
+    ends = ends.withColumn("_rare", F.when(start, F.col("src_id")).otherwise(F.col("dst_id"))).withColumn("_other", F.when(start, F.col("dst_id")).otherwise(F.col("src_id")))
+    half = ends.join(seen.withColumnRenamed("member", "_rare"), "_rare")
+    return half.join(seen.withColumnRenamed("member", "_other"), [group, "_other"]).select(group, *edges.columns)
+
+
 def relation_evidence(relations: DataFrame, mentions: DataFrame) -> DataFrame:
     """``(relation_id, chunk_id)``: the chunks that mention both ends of a relation, each once."""
-    seen = mentions.select("chunk_id", "entity_id").distinct()
     ends = relations.select(F.col("id").alias("relation_id"), "src_id", "dst_id")
-    src = ends.join(seen.select("chunk_id", F.col("entity_id").alias("src_id")), "src_id")
-    return src.join(seen.select("chunk_id", F.col("entity_id").alias("dst_id")), ["chunk_id", "dst_id"]).select("relation_id", "chunk_id")
+    return inner_edges(ends, mentions.select("chunk_id", F.col("entity_id").alias("member")), "chunk_id").select("relation_id", "chunk_id")
 
 
 def degree_by_occurrence(relations: DataFrame) -> DataFrame:

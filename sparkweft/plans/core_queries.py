@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions import text, vocabulary
 from sparkweft.operators import chunking, extraction, governance, graph, lexical, merge, metrics, retrieval, scan, snapshots
-from sparkweft.sources.tables import read_table
+from sparkweft.sources.tables import once_per_key, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,7 +98,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return read_table(spark, d, "chunks", list(columns)).dropDuplicates(["id"])
+    return once_per_key(read_table(spark, d, "chunks", list(columns)), "id") if columns[1:] else read_table(spark, d, "chunks", ["id"]).distinct()
 
 
 def _shown(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -552,11 +552,11 @@ def _(spark, d):
     return graph.community_table(_entities(spark, d).where("community_id IS NOT NULL").select("id", F.col("community_id").alias("label")))
 
 
+_TOP = f"(SELECT * FROM (SELECT community_id, id, name, row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, id) AS n FROM {ENTITY} WHERE community_id IS NOT NULL) WHERE n <= 8)"
 _SUMMARIES = f"""(SELECT community_id, array_to_string([members, edges], '; ') AS summary, top FROM (
-  SELECT community_id, string_agg(name, ', ' ORDER BY n) AS members, string_agg(name, ', ' ORDER BY n) FILTER (n <= 5) AS top
-  FROM (SELECT community_id, name, row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, id) AS n FROM {ENTITY} WHERE community_id IS NOT NULL) WHERE n <= 8 GROUP BY community_id) a
+  SELECT community_id, string_agg(name, ', ' ORDER BY n) AS members, string_agg(name, ', ' ORDER BY n) FILTER (n <= 5) AS top FROM {_TOP} GROUP BY community_id) a
   LEFT JOIN (SELECT community_id, string_agg(line, ', ' ORDER BY n) AS edges FROM (SELECT s.community_id, concat_ws(' ', s.name, r.type, o.name) AS line, row_number() OVER (PARTITION BY s.community_id ORDER BY r.weight DESC, r.id) AS n
-    FROM {LIVE} r JOIN {ENTITY} s ON s.id = r.src_id JOIN {ENTITY} o ON o.id = r.dst_id AND o.community_id = s.community_id) WHERE n <= 8 GROUP BY community_id) b USING (community_id))"""
+    FROM {LIVE} r JOIN {_TOP} s ON s.id = r.src_id JOIN {_TOP} o ON o.id = r.dst_id AND o.community_id = s.community_id) WHERE n <= 8 GROUP BY community_id) b USING (community_id))"""
 
 
 def _summaries(spark, d):
