@@ -72,8 +72,3 @@ def extension(path: Column) -> Column:
 def glob_regex(pattern: str) -> str:
     """The anchored Java expression of a pattern in which only ``*`` is special."""
     return "^" + "".join(".*" if c == "*" else c if c.isalnum() or c in "_/" else "\\" + c for c in pattern) + "$"
-
-
-def terms_contained(text: Column, terms: Column, fold: bool = False) -> Column:
-    """How many of the terms the lower-cased text contains; with ``fold`` the terms are lower-cased too."""
-    return F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t) if fold else t)))

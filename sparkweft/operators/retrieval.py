@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweft.functions.text import estimate_tokens, extract_terms, norm_name
+from sparkweft.functions.text import shown as shown_text
+from sparkweft.functions.vocabulary import EngineError
 from sparkweft.operators import graph, lexical
+from sparkweft.sources.tables import checkpointed, once_per_key, with_keys
 
 
 def within_budget(rows: DataFrame, group: str, order: list[Column], cost: str, budget: int) -> DataFrame:
@@ -38,60 +41,165 @@ def fuse(scores: DataFrame, seeds: DataFrame, top: int = 25) -> DataFrame:
     return rows.withColumn("fused", fused).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("qid", "id", F.col("fused").alias("score"), "rank")
 
 
-def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """``(qid, id, score)``: walks for many questions at once. Only nodes that a question's walk has reached have a row; the
-    others score 0. The share of nodes without edges goes back to all nodes evenly and is kept as one number a question."""
-    from sparkweft.sources.tables import checkpointed
+def _even_share(step: DataFrame, nodes: DataFrame, damping: float, iterations: int) -> tuple[DataFrame, int]:
+    """``(id, even)`` of all nodes: the score that a walk adds to each for a unit of seed weight on nodes without edges.
 
+    What such nodes lose is spread over all nodes alike and then flows on, the same way for every question, so it is
+    walked once. What they hold themselves follows a recurrence, as nothing flows to them but their even part.
+    """
+    linked = step.select(F.col("node").alias("id")).distinct().withColumn("linked", F.lit(True))
+    flow = checkpointed(nodes.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked")))
+    n, idle = flow.agg(F.count("*"), F.count_if(~F.col("linked"))).first()
+    lost = [1.0]
+    for _ in range(1, iterations):
+        lost.append(1 - damping + damping * lost[-1] * idle / max(n, 1))
+    flow = flow.select("id", F.lit(1.0 / max(n, 1)).alias("u"), F.lit(damping * lost[-1] / max(n, 1)).alias("even"))
+    for j in range(1, iterations):
+        moved = step.join(flow.select(F.col("id").alias("node"), "u"), "node").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("p") * F.col("u")).alias("got"))
+        flow = flow.join(moved, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("u"), (F.col("even") + F.coalesce("got", F.lit(0.0)) * (damping ** (j + 1) * lost[iterations - 1 - j])).alias("even"))
+        if j % 4 == 0:
+            flow = checkpointed(flow)
+    return flow.select("id", "even"), n
+
+
+def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, keep: int = 25) -> DataFrame:
+    """``(qid, id, score)``: walks for many questions at once, exact. Nodes that a question's walk has reached have a row, and
+    so have the first ``keep`` of the others; the rest score no more than these.
+
+    The even part that nodes without edges give to all nodes is worked out once and added in proportion to the seed
+    weight on such nodes, so questions never have a row for every node.
+    """
     edges = graph.undirected(relations)
     total = edges.groupBy("node").agg(F.sum("weight").alias("total"))
     step = checkpointed(edges.join(total, "node").where("total > 0").select("node", "other", (F.col("weight") / F.col("total")).alias("p")))
-    n = nodes.select("id").distinct().count()
     mass = seeds.groupBy("qid").agg(F.sum("weight").alias("mass"))
     jump = checkpointed(seeds.join(mass, "qid").select("qid", "id", (F.col("weight") / F.col("mass")).alias("jump")))
     linked = step.select(F.col("node").alias("id")).distinct()
+    idle = jump.join(linked, "id", "left_anti").groupBy("qid").agg(F.sum("jump").alias("idle"))
     rank = jump.select("qid", "id", F.col("jump").alias("score"))
     for k in range(1, iterations + 1):
-        moved = rank.join(step, rank["id"] == step["node"]).groupBy("qid", F.col("other").alias("id")).agg((damping * F.sum(F.col("score") * F.col("p"))).alias("score"))
+        moved = rank.join(step, rank["id"] == step["node"]).select("qid", F.col("other").alias("id"), (damping * F.col("score") * F.col("p")).alias("score"))
         back = jump.select("qid", "id", ((1 - damping) * F.col("jump")).alias("score"))
-        lost = rank.join(linked, "id", "left_anti").groupBy("qid").agg((damping * F.sum("score") / n).alias("even"))
-        rank = moved.unionByName(back).groupBy("qid", "id").agg(F.sum("score").alias("score")).join(lost, "qid", "left")
-        rank = rank.select("qid", "id", (F.col("score") + F.coalesce("even", F.lit(0.0))).alias("score"))
+        rank = moved.unionByName(back).groupBy("qid", "id").agg(F.sum("score").alias("score"))
         if k % 2 == 0 or k == iterations:
             rank = checkpointed(rank)
-    return rank
+    idle = checkpointed(jump.select("qid").distinct().join(idle, "qid", "left").select("qid", F.coalesce("idle", F.lit(0.0)).alias("idle")))
+    even = None
+    if not idle.where("idle > 0").isEmpty():
+        even = checkpointed(_even_share(step, nodes, damping, iterations)[0])
+    # no node that a walk hasn't reached can come before the first ones by their even part, or by id where that is nothing
+    ids = nodes.select("id").distinct()
+    firsts = [([r.id for r in ids.orderBy("id").limit(keep).collect()], "idle = 0")]
+    if even is not None:
+        firsts.append(([r.id for r in even.orderBy(F.desc(F.round("even", 12)), "id").limit(keep).collect()], "idle > 0"))
+    for first, which in firsts:
+        more = idle.where(which).select("qid", F.explode(F.array(*map(F.lit, first)).cast("array<long>")).alias("id"), F.lit(0.0).alias("score"))
+        rank = rank.unionByName(more)
+    rank = rank.groupBy("qid", "id").agg(F.sum("score").alias("score"))
+    if even is None:
+        return rank
+    return rank.join(idle, "qid").join(even, "id").select("qid", "id", (F.col("score") + F.col("idle") * F.col("even")).alias("score"))
+
+
+def entity_texts(entities: DataFrame) -> DataFrame:
+    """``(id, text, shown)``: what names an entity in a search: its name and aliases, if the table has them."""
+    text = F.coalesce("search_text", "name") if "search_text" in entities.columns else F.col("name")
+    return entities.select("id", text.alias("text"), F.lit(True).alias("shown"))
 
 
 def local_search(tables: dict[str, DataFrame], questions: DataFrame, seed_limit: int = 12, top: int = 25, chunk_limit: int = 12, per_entity: int = 2, budget: int = 6000, iterations: int = 20) -> dict[str, DataFrame]:
-    """Evidence for questions ``(qid, question)``: ranked ``entities``, ``relations`` among them, ``chunks`` and
-    ``communities``. Tables: sources, chunks, entities, mentions, relations, and summaries if there are any.
+    """Evidence for questions ``(qid, question)``: ranked ``entities``, ``relations`` among them, ``chunks``, ``communities``
+    and ``outcomes``, where a question that no entity answers to is NO_SEED. Tables: sources, chunks, entities, mentions,
+    relations, and summaries if there are any.
 
     Chunks that the words find come first with their score; then the chunks of the ranked entities, cut at a token budget
     before those already there are left out.
     """
     chunk_limit = min(max(chunk_limit, 3), 50)
-    shown = graph.shown_chunks(tables["chunks"].where("text IS NOT NULL").dropDuplicates(["id"]), tables["sources"])
     entities, mentions, relations = (graph.once(tables[t]) for t in ("entities", "mentions", "relations"))
     texts = graph.searchable_texts(tables["chunks"], tables["sources"])
-    chunk_hits = lexical.bm25(texts, questions, max(8, chunk_limit))
-    entity_hits = lexical.bm25(entities.select("id", F.col("name").alias("text"), F.lit(True).alias("shown")), questions, seed_limit)
-    seeds = build_seeds(entity_hits, chunk_hits.where("rank <= 8"), mentions, seed_limit)
-    ranked = fuse(pagerank_many(entities, relations, seeds, iterations=iterations), seeds, top)
+    shown = texts.where("shown").select("id", "text")
+    chunk_hits = checkpointed(lexical.bm25(texts, questions, max(8, chunk_limit)))
+    entity_hits = lexical.bm25(entity_texts(entities), questions, seed_limit)
+    seeds = checkpointed(build_seeds(entity_hits, chunk_hits.where("rank <= 8"), mentions, seed_limit))
+    ranked = checkpointed(fuse(pagerank_many(entities, relations, seeds, iterations=iterations, keep=top), seeds, top))
     among = graph.relations_among(relations, ranked, 40)
     near = ranked.select("qid", F.col("id").alias("entity_id"), "rank").join(graph.chunks_for_entities(mentions, shown, per_entity), "entity_id")
-    first = near.groupBy("qid", "chunk_id").agg(F.min(F.struct("rank", "position")).alias("at"))
-    costed = first.join(shown.select(F.col("id").alias("chunk_id"), estimate_tokens(F.col("text")).alias("cost")), "chunk_id")
+    first = checkpointed(near.groupBy("qid", "chunk_id").agg(F.min(F.struct("rank", "position")).alias("at")))
+    costs = with_keys(shown, "id", first.select("chunk_id")).select(F.col("id").alias("chunk_id"), estimate_tokens(F.col("text")).alias("cost"))
+    costed = first.join(costs, "chunk_id")
     cut = within_budget(costed, "qid", [F.col("at"), F.col("chunk_id")], "cost", budget).select("qid", F.col("chunk_id").alias("id"), "at")
     found = chunk_hits.where(F.col("rank") <= chunk_limit).select("qid", "id", "score", F.lit(0).alias("stage"), F.struct("rank", F.lit(0).alias("position")).alias("at"))
     more = cut.join(found.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(None).cast("double").alias("score"), F.lit(1).alias("stage"), "at")
-    both = found.unionByName(more).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("stage", "at", "id"))).where(F.col("rank") <= chunk_limit)
-    out = {"entities": ranked, "relations": among, "chunks": both.select("qid", "id", "score", "rank"), "seeds": seeds}
+    both = found.unionByName(more).join(seeds.select("qid").distinct(), "qid", "left_semi")
+    both = both.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("stage", "at", "id"))).where(F.col("rank") <= chunk_limit)
+    counted = seeds.groupBy("qid").agg(F.count("*").alias("seeds"))
+    outcomes = questions.select("qid").join(counted, "qid", "left").select("qid", F.when(F.col("seeds") > 0, "ok").otherwise("NO_SEED").alias("outcome"))
+    out = {"entities": ranked, "relations": among, "chunks": both.select("qid", "id", "score", "rank"), "seeds": seeds, "outcomes": outcomes}
     if "summaries" in tables:
         met = ranked.join(entities.select("id", "community_id"), "id").groupBy("qid", "community_id").agg(F.min("rank").alias("at")).join(tables["summaries"], "community_id")
         out["communities"] = met.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("at"))).where("n <= 3")
     return out
 
 
+def coverage_of(tables: dict[str, DataFrame]) -> str:
+    """How much the graph covers, in words."""
+    n = {t: tables[t].select("id").distinct().count() for t in ("sources", "entities", "relations")}
+    return f"{n['sources']} files / {n['entities']} entities / {n['relations']} relations"
+
+
+#: What stands for the place of an entity without evidence, and the note beside a summary.
+NO_PLACE, NO_LINES, SUMMARY_NOTE = "(无原文)", "-", "LLM 生成摘要，引用需回到 chunks"
+
+
+def places(entities: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``(entity_id, chunk_id, path, lines)``: where each entity ``(entity_id)`` is first mentioned in a shown chunk."""
+    names = tables["sources"].select(F.col("id").alias("source_id"), F.col("path").alias("source_path"), "state").distinct()
+    shown = graph.shown_chunks(tables["chunks"].select("id", "source_id", "start_line", "end_line").distinct(), tables["sources"])
+    wanted = entities.select("entity_id").distinct()
+    met = graph.once(tables["mentions"]).select("id", "chunk_id", "entity_id").join(wanted, "entity_id", "left_semi")
+    first = graph.first_evidence(met, shown).join(shown.withColumnRenamed("id", "chunk_id"), "chunk_id").join(names, "source_id", "left")
+    rows = wanted.join(first, "entity_id", "left")
+    return rows.select("entity_id", "chunk_id", F.coalesce("source_path", F.lit(NO_PLACE)).alias("path"), F.coalesce(F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")), F.lit(NO_LINES)).alias("_lines"), F.col("chunk_id").isNotNull().alias("_here")).select(
+        "entity_id", "chunk_id", "path", F.when(F.col("_here"), F.col("_lines")).otherwise(NO_LINES).alias("lines")
+    )
+
+
+def with_evidence(edges: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Edges ``(qid, relation_id, ..)`` with the names of their ends, type and weight, and the place of their source."""
+    relations = graph.once(tables["relations"]).select(F.col("id").alias("relation_id"), "src_id", "dst_id", F.col("type").alias("r"), F.col("weight").alias("w"))
+    names = graph.once(tables["entities"]).select("id", "name")
+    rows = edges.join(relations, "relation_id").join(names.toDF("src_id", "s"), "src_id").join(names.toDF("dst_id", "o"), "dst_id")
+    return rows.join(places(rows.select(F.col("src_id").alias("entity_id")), tables).withColumnRenamed("entity_id", "src_id"), "src_id").drop("chunk_id")
+
+
+def evidence_chunks(picked: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Chunks ``(qid, id, rank, ..)`` with their path, lines and text as evidence shows them."""
+    rows = tables["chunks"].select("id", "source_id", "start_line", "end_line", "text").where("text IS NOT NULL")
+    rows = once_per_key(with_keys(rows, "id", picked.select("id")), "id")
+    names = tables["sources"].select(F.col("id").alias("source_id"), F.col("path").alias("path")).distinct()
+    lines = F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))
+    return picked.join(rows, "id").join(names, "source_id", "left").select(*picked.columns, "path", lines.alias("lines"), shown_text(F.col("text")).alias("text"))
+
+
+def evidence_pack(tables: dict[str, DataFrame], found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What a reader gets: entities, relations and chunks of a search with names, places and texts, community summaries with
+    the note that they are second-hand, and ``outcomes`` with the number of seeds and how much the graph covers."""
+    known = graph.once(tables["entities"])
+    about = known.select("id", "name", "type", "description", *(["community_id"] if "community_id" in known.columns else []))
+    pack = {"entities": found["entities"].drop("community_id").join(about, "id"), "chunks": evidence_chunks(found["chunks"].withColumnRenamed("chunk_id", "id") if "chunk_id" in found["chunks"].columns else found["chunks"], tables)}
+    if "relations" in found:
+        pack["relations"] = with_evidence(found["relations"], tables)
+    if "communities" in found:
+        told = found["communities"]
+        told = told if "summary" in told.columns else told.join(tables["summaries"].select("community_id", "summary", "top"), "community_id")
+        pack["communities"] = told.withColumn("note", F.lit(SUMMARY_NOTE))
+    if "outcomes" in found:
+        counts = found["seeds"].groupBy("qid").agg(F.count("*").alias("seed_hits"))
+        pack["outcomes"] = found["outcomes"].join(counts, "qid", "left").na.fill(0, ["seed_hits"]).withColumn("coverage", F.lit(coverage_of(tables)))
+    return pack
+
+
 def rank_summaries(summaries: DataFrame, questions: DataFrame, top: int = 5, fold: bool = False) -> DataFrame:
     """``(qid, community_id, score, rank)``: communities by how many terms of a question their summary contains; all of
     them if there are at most eight. ``fold`` also lower-cases terms of mixed scripts, which are kept as written otherwise."""
@@ -143,14 +251,20 @@ def rank_summaries_by_model(summaries: DataFrame, questions: DataFrame, scorer:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "community_id"))).where(F.col("rank") <= top)
 
 
-def global_search(tables: dict[str, DataFrame], summaries: DataFrame, questions: DataFrame, top: int = 5, members: int = 12, budget: int = 6000) -> dict[str, DataFrame]:
-    """Evidence for broad questions: the best communities, up to twelve of their members, a chunk of each within a budget."""
-    picked = rank_summaries(summaries, questions, top)
+def global_search(tables: dict[str, DataFrame], summaries: DataFrame, questions: DataFrame, top: int = 5, members: int = 12, budget: int = 6000, scorer: Callable[[str, list[str]], list[float]] | None = None) -> dict[str, DataFrame]:
+    """Evidence for broad questions: the best communities, up to twelve of their members, a chunk of each within a budget.
+    A model may score the communities; where it fails their terms do. Without any summary it is NOT_INDEXED."""
+    if summaries.isEmpty():
+        raise EngineError("NOT_INDEXED", "no summaries")
+    picked = rank_summaries(summaries, questions, top) if scorer is None else rank_summaries_by_model(summaries, questions, scorer, top)
+    picked = checkpointed(picked)
     entities, mentions = graph.once(tables["entities"]), graph.once(tables["mentions"])
     inside = entities_by_community(entities, members)
     people = picked.select("qid", "community_id", F.col("rank").alias("community_rank")).join(inside, "community_id")
-    shown = graph.shown_chunks(tables["chunks"].where("text IS NOT NULL").dropDuplicates(["id"]), tables["sources"])
-    proof = people.join(graph.first_evidence(mentions, shown), F.col("id") == F.col("entity_id")).join(shown.select(F.col("id").alias("chunk_id"), estimate_tokens(F.col("text")).alias("cost")), "chunk_id")
+    shown = graph.searchable_texts(tables["chunks"], tables["sources"]).where("shown").select("id", "text")
+    proof = checkpointed(people.join(graph.first_evidence(mentions, shown), F.col("id") == F.col("entity_id")))
+    costs = with_keys(shown, "id", proof.select("chunk_id")).select(F.col("id").alias("chunk_id"), estimate_tokens(F.col("text")).alias("cost"))
+    proof = proof.join(costs, "chunk_id")
     chunks = within_budget(proof, "qid", [F.col("community_rank"), F.col("rank"), F.col("chunk_id")], "cost", budget)
     return {"communities": picked, "entities": people, "chunks": chunks.select("qid", "chunk_id", "community_rank", "rank")}
 
@@ -162,22 +276,22 @@ def entities_by_community(entities: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def resolve_seeds(entities: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(qid, id, outcome)``: the entity that a question spells, else the only one that its words find. Several are
-    ``ambiguous`` (id null), none is NO_SEED."""
+    """``(qid, id, outcome, candidates)``: the entity that a question spells, else the only one that its words find. Several
+    are ``ambiguous`` (id null, their names in ``candidates``), none is NO_SEED."""
     exact = questions.select("qid", norm_name(F.col("question")).alias("norm_name")).join(entities.select("id", "norm_name"), "norm_name").groupBy("qid").agg(F.min("id").alias("exact"))
-    hits = lexical.bm25(entities.select("id", F.col("name").alias("text"), F.lit(True).alias("shown")), questions, 5).groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("fuzzy"))
+    hits = lexical.bm25(entity_texts(entities), questions, 5).join(entities.select("id", "name"), "id")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])  # five at most
+    hits = hits.groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("fuzzy"), names.alias("names"))
     rows = questions.select("qid").join(exact, "qid", "left").join(hits, "qid", "left")
     outcome = F.when(F.col("exact").isNotNull() | (F.col("n") == 1), "ok").when(F.col("n") > 1, "ambiguous").otherwise("NO_SEED")
-    return rows.select("qid", F.coalesce("exact", F.when(F.col("n") == 1, F.col("fuzzy"))).alias("id"), outcome.alias("outcome"))
+    rows = rows.withColumn("outcome", outcome)
+    candidates = F.when(F.col("outcome") == "ambiguous", F.col("names")).otherwise(F.array().cast("array<string>"))
+    return rows.select("qid", F.coalesce("exact", F.when(F.col("n") == 1, F.col("fuzzy"))).alias("id"), "outcome", candidates.alias("candidates"))
 
 
 def traversal_search(tables: dict[str, DataFrame], questions: DataFrame, hops: int = 2, direction: str = "both", types: list[str] | None = None, budget: int = 200) -> dict[str, DataFrame]:
     """The graph around the entity that each question names, at most ten hops and 500 nodes."""
     entities, relations = graph.once(tables["entities"]), graph.once(tables["relations"])
-    seeds = resolve_seeds(entities, questions)
+    seeds = checkpointed(resolve_seeds(entities, questions))
     nodes, edges, flags = graph.traverse(relations, seeds.where("outcome = 'ok'").select("qid", "id"), min(max(hops, 1), 10), direction, types, min(budget, 500))
     return {"seeds": seeds, "nodes": nodes, "edges": edges, "flags": flags}
-
-
-def term_lists(questions: DataFrame) -> DataFrame:
-    return questions.select("qid", extract_terms(F.col("question")).alias("terms"))

@@ -115,7 +115,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {"sources": _sources(spark, d), "chunks": read_table(spark, d, "chunks"), "entities": _entities(spark, d), "mentions": _mentions(spark, d), "relations": _relations(spark, d)}
+    return {"sources": _sources(spark, d), "chunks": read_table(spark, d, "chunks"), "entities": _cards(spark, d), "mentions": _mentions(spark, d), "relations": _relations(spark, d)}
 
 
 @query("norm_name", f"SELECT id, {_norm('name')} AS key FROM {ENTITY}")
@@ -394,15 +394,21 @@ def _bm25_sql(texts: str, k: int, questions: str = ASKED) -> str:
 
 
 _CHUNK_TEXTS = f"(SELECT id, text, source_id NOT IN (SELECT id FROM sources WHERE state = 'disabled') AS shown FROM {CHUNK} WHERE text IS NOT NULL)"
-_NAME_TEXTS = f"(SELECT id, name AS text, TRUE AS shown FROM {ENTITY} WHERE name IS NOT NULL)"
+_CARDS = f"(SELECT *, concat_ws(' ', name, norm_name) AS search_text FROM {ENTITY})"
+_NAME_TEXTS = f"(SELECT id, search_text AS text, TRUE AS shown FROM {_CARDS})"
 
 
 def _chunk_texts(spark, d):
     return graph.searchable_texts(read_table(spark, d, "chunks", ["id", "source_id", "text"]), _sources(spark, d))
 
 
+def _cards(spark, d):
+    """The entities with the key of an older build as an alias beside the name."""
+    return _entities(spark, d).withColumn("search_text", F.concat_ws(" ", "name", "norm_name"))
+
+
 def _name_texts(spark, d):
-    return _entities(spark, d).select("id", F.col("name").alias("text"), F.lit(True).alias("shown"))
+    return retrieval.entity_texts(_cards(spark, d))
 
 
 @query("bm25_chunks", _bm25_sql(_CHUNK_TEXTS, 8) + "SELECT qid, id, round(score, 6) AS score, rank FROM hits")
@@ -418,12 +424,12 @@ def _(spark, d):
 @query(
     "entity_cards",
     f"""WITH q AS {ASKED}, t AS (SELECT DISTINCT qid, unnest({_terms("question")}) AS term FROM q),
-    h AS (SELECT qid, e.id, degree, max(contains(lower(name), lower(term))) AS a FROM t, {ENTITY} e WHERE contains(lower(name), lower(term)) OR contains(lower(norm_name), lower(term)) GROUP BY qid, e.id, degree),
+    h AS (SELECT qid, e.id, degree, max(contains(lower(search_text), lower(term))) AS a FROM t, {_CARDS} e WHERE contains(lower(search_text), lower(term)) OR contains(lower(norm_name), lower(term)) GROUP BY qid, e.id, degree),
     k AS (SELECT *, max(a) OVER (PARTITION BY qid) AS any_a FROM h)
     SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY degree DESC, id)::INTEGER AS rank FROM k WHERE a OR NOT any_a) WHERE rank <= 20""",
 )
 def _(spark, d):
-    return lexical.entity_cards(_entities(spark, d).withColumn("search_text", F.col("name")), _asked(spark, d), 20)
+    return lexical.entity_cards(_cards(spark, d), _asked(spark, d), 20)
 
 
 # --- graph --------------------------------------------------------------------------------------------------------
@@ -447,14 +453,47 @@ def _(spark, d):
     return graph.traverse(_relations(spark, d), seeds, 2, "both", None, 1 << 30)[0].select("qid", "id", "hop")
 
 
-@query("traverse_budget")
+def _walk_sql(seeds: str, hops: int, budget: int) -> str:
+    """The levels of a breadth-first walk from ``seeds`` (qid, id), unrolled: ``seen{hops}`` has the nodes in the order of
+    their admission, ``walked`` the edges, ``refused`` the questions some node of which wasn't admitted."""
+    out = [f"e AS MATERIALIZED {_BOTH}", f"seen0 AS MATERIALIZED (SELECT qid, id, 0 AS hop, row_number() OVER (PARTITION BY qid ORDER BY id) AS position FROM (SELECT DISTINCT qid, id FROM {seeds}))", "f0 AS (SELECT * FROM seen0)"]
+    for h in range(1, hops + 1):
+        out += [
+            f"s{h} AS MATERIALIZED (SELECT f.qid, f.position AS came, e.other AS id, e.id AS rid, e.weight FROM f{h - 1} f JOIN e ON e.node = f.id)",
+            f"m{h} AS (SELECT s.*, row_number() OVER (PARTITION BY s.qid, s.id ORDER BY came, weight DESC, rid) AS k FROM s{h} s LEFT JOIN seen{h - 1} o ON o.qid = s.qid AND o.id = s.id WHERE o.id IS NULL)",
+            f"c{h} AS (SELECT qid, count(*) AS taken FROM seen{h - 1} GROUP BY qid)",
+            f"r{h} AS MATERIALIZED (SELECT m.qid, m.id, {h} AS hop, taken + row_number() OVER (PARTITION BY m.qid ORDER BY came, weight DESC, rid) AS position FROM m{h} m JOIN c{h} c ON c.qid = m.qid WHERE k = 1)",
+            f"f{h} AS (SELECT * FROM r{h} WHERE position <= {budget})",
+            f"seen{h} AS MATERIALIZED (SELECT * FROM seen{h - 1} UNION ALL SELECT * FROM f{h})",
+        ]
+    walked = " UNION ".join(f"SELECT qid, rid FROM s{h}" for h in range(1, hops + 1))
+    refused = " UNION ".join(f"SELECT qid FROM r{h} WHERE position > {budget}" for h in range(1, hops + 1))
+    return ", ".join([*out, f"walked AS ({walked})", f"refused AS ({refused})"])
+
+
+_SEEDS = "(SELECT DISTINCT id AS qid, id FROM entities WHERE id % 50 = 0)"
+
+
+def _seeds(spark, d):
+    return _entities(spark, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "id")
+
+
+@query(
+    "traverse_budget",
+    f"""WITH {_walk_sql(_SEEDS, 4, 20)} SELECT n.qid, nodes, coalesce(edges, 0) AS edges, n.qid IN (SELECT qid FROM refused) AS truncated
+    FROM (SELECT qid, count(*) AS nodes FROM seen4 GROUP BY qid) n LEFT JOIN (SELECT qid, count(*) AS edges FROM walked GROUP BY qid) w USING (qid)""",
+)
 def _(spark, d):
-    seeds = _entities(spark, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "id")
-    nodes, edges, flags = graph.traverse(_relations(spark, d), seeds, 4, "both", None, 200)
+    nodes, edges, flags = graph.traverse(_relations(spark, d), _seeds(spark, d), 4, "both", None, 20)
     counts = nodes.groupBy("qid").agg(F.count("*").alias("nodes")).join(edges.groupBy("qid").agg(F.count("*").alias("edges")), "qid", "left")
     return counts.join(flags, "qid").na.fill(0, ["edges"])
 
 
+@query("traverse_order", f"WITH {_walk_sql(_SEEDS, 4, 20)} SELECT qid, id, hop::INTEGER AS hop, position::INTEGER AS position FROM seen4")
+def _(spark, d):
+    return graph.traverse(_relations(spark, d), _seeds(spark, d), 4, "both", None, 20)[0]
+
+
 @query(
     "reverse_closure",
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT dst_id AS node, src_id AS other FROM {LIVE} WHERE type IN ('imports', 'depends_on')),
@@ -527,6 +566,21 @@ def _(spark, d):
     return graph.personalized_pagerank(nodes, _relations(spark, d), seeds, tolerance=None).select("id", F.round("score", 9).alias("score"))
 
 
+@query(
+    "pagerank_stopped",
+    _pagerank_sql(20).rsplit("SELECT id", 1)[0].rstrip()
+    + ", k AS (SELECT coalesce(min(k), 20) AS k FROM ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.score - b.score)) AS moved FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, 21))
+    + ") WHERE moved < 0.05) SELECT id, round(score, 9) AS score FROM ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(1, 21))
+    + ") WHERE k = (SELECT k FROM k)",
+)
+def _(spark, d):
+    nodes = _entities(spark, d)
+    seeds = nodes.where("id % 50 = 0").select("id", F.lit(1.0).alias("weight"))
+    return graph.personalized_pagerank(nodes, _relations(spark, d), seeds, tolerance=0.05).select("id", F.round("score", 9).alias("score"))
+
+
 @query("communities_exact")
 def _(spark, d):
     return graph.communities_exact(_entities(spark, d), _relations(spark, d))
@@ -587,61 +641,131 @@ def _(spark, d):
 # --- retrieval modes ----------------------------------------------------------------------------------------------
 
 
-@query(
-    "seed_builder",
-    _bm25_sql(_CHUNK_TEXTS, 8).replace("hits AS (", "chunk_hits AS (", 1)
+_SEED_CTES = (
+    _bm25_sql(_CHUNK_TEXTS, 12).replace("hits AS (", "chunk_hits AS (", 1)
     + f""", z2 AS (SELECT count(*)::DOUBLE AS n, avg(greatest(length(text) - 2, 0)) AS mean FROM {_NAME_TEXTS}),
     h2 AS (SELECT x.id, u.term, (length(lower(text)) - length(replace(lower(text), lower(term), ''))) / length(term) AS f, greatest(length(text) - 2, 0) AS d FROM {_NAME_TEXTS} x, (SELECT DISTINCT term FROM t) u WHERE contains(lower(text), lower(term))),
     i2 AS (SELECT term, CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT term, count(*) AS c FROM h2 GROUP BY term), z2),
     s2 AS (SELECT qid, h2.id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))) AS score FROM t JOIN h2 USING (term) JOIN i2 USING (term), z2 GROUP BY qid, h2.id),
     direct AS (SELECT qid, id, 13.0 - rank AS weight FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), id) AS rank FROM s2) WHERE rank <= 12),
-    back AS (SELECT qid, m.entity_id AS id, sum(1.0 / c.rank) AS weight FROM chunk_hits c JOIN {MENTION} m ON m.chunk_id = c.id GROUP BY 1, 2)
-    SELECT qid, id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, round(weight, 9) DESC, id) AS k FROM (
-      SELECT qid, id, weight::DOUBLE AS weight, 0 AS o FROM direct UNION ALL SELECT qid, id, weight::DOUBLE, 1 FROM back WHERE (qid, id) NOT IN (SELECT (qid, id) FROM direct))) WHERE k <= 12
-    """,
+    back AS (SELECT qid, m.entity_id AS id, sum(1.0 / c.rank) AS weight FROM chunk_hits c JOIN {MENTION} m ON m.chunk_id = c.id WHERE c.rank <= 8 GROUP BY 1, 2),
+    seeds AS MATERIALIZED (SELECT qid, id, weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, round(weight, 9) DESC, id) AS k FROM (
+      SELECT qid, id, weight::DOUBLE AS weight, 0 AS o FROM direct UNION ALL SELECT qid, id, weight::DOUBLE, 1 FROM back WHERE (qid, id) NOT IN (SELECT (qid, id) FROM direct))) WHERE k <= 12)"""
 )
+
+
+@query("seed_builder", _SEED_CTES + " SELECT qid, id, round(weight, 6) AS weight FROM seeds")
 def _(spark, d):
     asked = _asked(spark, d)
     seeds = retrieval.build_seeds(lexical.bm25(_name_texts(spark, d), asked, 12), lexical.bm25(_chunk_texts(spark, d), asked, 8), _mentions(spark, d))
     return seeds.select("qid", "id", F.round("weight", 6).alias("weight"))
 
 
-@query("local_entities")
-def _(spark, d):
-    return retrieval.local_search(_tables(spark, d), _asked(spark, d))["entities"].select("qid", "id", F.round("score", 6).alias("score"), "rank")
+def _local_sql(rounds: int = 20) -> str:
+    """Local search: a walk over all nodes for each question, then the fused ranks of entities as ``top``."""
+    steps = [
+        f"""w{k} AS MATERIALIZED (SELECT v.qid, v.id, 0.85 * (coalesce(g.got, 0) + coalesce(l.lost, 0) / (SELECT count(*) FROM {ENTITY})) + 0.15 * v.jump AS score FROM v
+        LEFT JOIN (SELECT w.qid, p.other AS id, sum(p.p * w.score) AS got FROM p JOIN w{k - 1} w ON w.id = p.node GROUP BY 1, 2) g ON g.qid = v.qid AND g.id = v.id
+        LEFT JOIN (SELECT qid, sum(score) AS lost FROM w{k - 1} WHERE id NOT IN (SELECT node FROM p) GROUP BY qid) l ON l.qid = v.qid)"""
+        for k in range(1, rounds + 1)
+    ]
+    return (
+        _SEED_CTES
+        + f""", u0 AS (SELECT src_id AS node, dst_id AS other, weight::DOUBLE AS w FROM {RELATION} UNION ALL SELECT dst_id, src_id, weight FROM {RELATION}),
+    p AS MATERIALIZED (SELECT node, other, sum(w) / any_value(total) AS p FROM u0 JOIN (SELECT node, sum(w) AS total FROM u0 GROUP BY node) USING (node) GROUP BY node, other),
+    v AS MATERIALIZED (SELECT m.qid, e.id, coalesce(s.weight / mass, 0) AS jump FROM (SELECT qid, sum(weight) AS mass FROM seeds GROUP BY qid) m CROSS JOIN (SELECT id FROM {ENTITY}) e LEFT JOIN seeds s ON s.qid = m.qid AND s.id = e.id),
+    w0 AS MATERIALIZED (SELECT qid, id, jump AS score FROM v), {", ".join(steps)},
+    fused AS (SELECT w.qid, w.id, 0.5 * coalesce(s.weight / max(s.weight) OVER (PARTITION BY w.qid), 0) + 0.5 * w.score / max(w.score) OVER (PARTITION BY w.qid) AS score FROM w{rounds} w LEFT JOIN seeds s ON s.qid = w.qid AND s.id = w.id),
+    top AS MATERIALIZED (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM fused) WHERE rank <= 25),
+    cfe AS MATERIALIZED (SELECT entity_id, chunk_id, min(k) AS position FROM (SELECT entity_id, chunk_id, row_number() OVER (PARTITION BY entity_id ORDER BY id) AS k FROM {MENTION} WHERE chunk_id IN (SELECT id FROM {SHOWN} WHERE text IS NOT NULL)) WHERE k <= 2 GROUP BY 1, 2),
+    place AS MATERIALIZED (SELECT x.entity_id, s.path, concat_ws('-', c.start_line, c.end_line) AS lines FROM (SELECT entity_id, arg_min(chunk_id, id) AS chunk_id FROM {MENTION} WHERE chunk_id IN (SELECT id FROM {SHOWN}) GROUP BY entity_id) x JOIN {CHUNK} c ON c.id = x.chunk_id LEFT JOIN {SOURCE} s ON s.id = c.source_id)"""
+    )
 
 
-@query("local_relations")
+@query("local_entities", _local_sql() + f" SELECT qid, id, round(t.score, 6) AS score, rank, name, type FROM top t JOIN {ENTITY} USING (id)")
 def _(spark, d):
-    return retrieval.local_search(_tables(spark, d), _asked(spark, d))["relations"]
+    tables = _tables(spark, d)
+    pack = retrieval.evidence_pack(tables, {k: v for k, v in retrieval.local_search(tables, _asked(spark, d)).items() if k in ("entities", "chunks")})
+    return pack["entities"].select("qid", "id", F.round("score", 6).alias("score"), "rank", "name", "type")
 
 
-@query("local_chunks")
+@query(
+    "local_relations",
+    _local_sql()
+    + f""" SELECT qid, relation_id, rank, a.name AS s, r.type AS r, b.name AS o, r.weight AS w, coalesce(path, '{retrieval.NO_PLACE}') AS path, coalesce(lines, '-') AS lines
+    FROM (SELECT a.qid, r.id AS relation_id, row_number() OVER (PARTITION BY a.qid ORDER BY weight DESC, r.id)::INTEGER AS rank FROM {LIVE} r JOIN top a ON a.id = r.src_id JOIN top b ON b.id = r.dst_id AND b.qid = a.qid) x
+    JOIN {RELATION} r ON r.id = x.relation_id JOIN {ENTITY} a ON a.id = r.src_id JOIN {ENTITY} b ON b.id = r.dst_id LEFT JOIN place ON place.entity_id = r.src_id WHERE rank <= 40""",
+)
 def _(spark, d):
-    return retrieval.local_search(_tables(spark, d), _asked(spark, d))["chunks"]
+    tables = _tables(spark, d)
+    among = retrieval.local_search(tables, _asked(spark, d))["relations"]
+    return retrieval.with_evidence(among, tables).select("qid", "relation_id", "rank", "s", "r", "o", "w", "path", "lines")
 
 
 @query(
-    "global_rank",
-    f"""WITH q AS {ASKED}, t AS (SELECT qid, {_terms("question")} AS terms FROM q), s AS {_SUMMARIES}
-    SELECT qid, community_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, community_id)::INTEGER AS rank FROM (
-      SELECT qid, community_id, len([x FOR x IN terms IF contains(lower(summary), x)])::INTEGER AS score FROM t, s WHERE len(terms) > 0)) WHERE rank <= 5 OR (SELECT count(*) FROM s) <= 8""",
+    "local_chunks",
+    _local_sql()
+    + f""", near AS (SELECT t.qid, c.chunk_id, min(t.rank * 10 + c.position) AS pos FROM top t JOIN cfe c ON c.entity_id = t.id GROUP BY 1, 2),
+    cut AS (SELECT * FROM (SELECT near.*, sum({_est("text")}) OVER (PARTITION BY qid ORDER BY pos, chunk_id ROWS UNBOUNDED PRECEDING) AS spent FROM near JOIN {CHUNK} c ON c.id = near.chunk_id) WHERE spent <= 6000),
+    both_ AS (SELECT qid, id, score, 0 AS stage, rank AS pos FROM chunk_hits WHERE qid IN (SELECT qid FROM seeds) UNION ALL SELECT qid, chunk_id, NULL, 1, pos FROM cut WHERE (qid, chunk_id) NOT IN (SELECT (qid, id) FROM chunk_hits)),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, pos, id)::INTEGER AS rank FROM both_)
+    SELECT qid, k.id, round(score, 6) AS score, rank, s.path, concat_ws('-', c.start_line, c.end_line) AS lines, md5(CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '…[截断]' ELSE text END) AS body
+    FROM kept k JOIN {CHUNK} c ON c.id = k.id LEFT JOIN {SOURCE} s ON s.id = c.source_id WHERE rank <= 12""",
 )
+def _(spark, d):
+    tables = _tables(spark, d)
+    rows = retrieval.evidence_chunks(retrieval.local_search(tables, _asked(spark, d))["chunks"], tables)
+    return rows.select("qid", "id", F.round("score", 6).alias("score"), "rank", "path", "lines", F.md5("text").alias("body"))
+
+
+def _rank_sql(summaries: str) -> str:
+    return f"""q AS {ASKED}, t AS (SELECT qid, {_terms("question")} AS terms FROM q), s AS MATERIALIZED {summaries},
+    picked AS (SELECT qid, community_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, community_id)::INTEGER AS rank FROM (
+      SELECT qid, community_id, len([x FOR x IN terms IF contains(lower(summary), x)])::INTEGER AS score FROM t, s WHERE len(terms) > 0)) WHERE rank <= 5 OR (SELECT count(*) FROM s) <= 8)"""
+
+
+@query("global_rank", f"WITH {_rank_sql(_SUMMARIES)} SELECT * FROM picked")
 def _(spark, d):
     return retrieval.rank_summaries(_summaries(spark, d), _asked(spark, d))
 
 
-@query("global_chunks")
+_SPLIT = ENTITY.replace("community_id", "id % 12 AS community_id")
+
+
+@query("global_rank_top", f"WITH {_rank_sql(_SUMMARIES.replace(ENTITY, _SPLIT))} SELECT * FROM picked")
+def _(spark, d):
+    """Twelve communities, so that only the best five are taken."""
+    entities = _entities(spark, d).withColumn("community_id", F.col("id") % 12)
+    return retrieval.rank_summaries(graph.summary_text(graph.summary_inputs(entities, _relations(spark, d))), _asked(spark, d))
+
+
+@query(
+    "global_chunks",
+    f"""WITH {_rank_sql(_SUMMARIES)},
+    m AS (SELECT * FROM (SELECT community_id, id, row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, id)::INTEGER AS rank FROM {ENTITY} WHERE community_id IS NOT NULL) WHERE rank <= 12),
+    f AS (SELECT entity_id, arg_min(chunk_id, id) AS chunk_id FROM {MENTION} WHERE chunk_id IN (SELECT id FROM {SHOWN} WHERE text IS NOT NULL) GROUP BY entity_id),
+    c AS (SELECT p.qid, f.chunk_id, p.rank AS community_rank, m.rank, {_est("text")} AS cost FROM picked p JOIN m USING (community_id) JOIN f ON f.entity_id = m.id JOIN {CHUNK} c ON c.id = f.chunk_id)
+    SELECT qid, chunk_id, community_rank, rank FROM (SELECT *, sum(cost) OVER (PARTITION BY qid ORDER BY community_rank, rank, chunk_id ROWS UNBOUNDED PRECEDING) AS spent FROM c) WHERE spent <= 6000""",
+)
 def _(spark, d):
     return retrieval.global_search(_tables(spark, d), _summaries(spark, d), _asked(spark, d))["chunks"]
 
 
-@query("traversal_seeds")
+_RESOLVED = (
+    _bm25_sql(_NAME_TEXTS, 5)
+    + f""", found AS (SELECT qid, count(*) AS n, min(h.id) AS fuzzy, string_agg(name, '|' ORDER BY rank) AS names FROM hits h JOIN {ENTITY} e ON e.id = h.id GROUP BY qid),
+    spelled AS (SELECT q.qid, min(e.id) AS exact FROM q JOIN {ENTITY} e ON e.norm_name = {_norm("question")} GROUP BY q.qid),
+    resolved AS MATERIALIZED (SELECT q.qid, coalesce(exact, CASE WHEN n = 1 THEN fuzzy END) AS id, CASE WHEN exact IS NOT NULL OR n = 1 THEN 'ok' WHEN n > 1 THEN 'ambiguous' ELSE 'NO_SEED' END AS outcome, names
+      FROM q LEFT JOIN spelled USING (qid) LEFT JOIN found USING (qid))"""
+)
+
+
+@query("traversal_seeds", _RESOLVED + " SELECT qid, id, outcome, CASE WHEN outcome = 'ambiguous' THEN names ELSE '' END AS candidates FROM resolved")
 def _(spark, d):
-    return retrieval.resolve_seeds(_entities(spark, d), _asked(spark, d))
+    return retrieval.resolve_seeds(_cards(spark, d), _asked(spark, d)).withColumn("candidates", F.array_join("candidates", "|"))
 
 
-@query("traversal_nodes")
+@query("traversal_nodes", _RESOLVED + ", " + _walk_sql("(SELECT qid, id FROM resolved WHERE outcome = 'ok')", 2, 200) + " SELECT qid, id, hop::INTEGER AS hop, position::INTEGER AS position FROM seen2")
 def _(spark, d):
     return retrieval.traversal_search(_tables(spark, d), _asked(spark, d))["nodes"]
 

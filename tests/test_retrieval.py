@@ -91,3 +91,75 @@ def test_model_scores_fall_back_per_batch(spark):
     got = retrieval.rank_summaries_by_model(summaries, asked, lambda q, part: [5.0 if "cache" in s else 1.0 for s in part], 2)
     assert [(r.community_id, r.rank) for r in got.orderBy("rank").collect()] == [(7, 1), (0, 2)]
     assert [r.community_id for r in retrieval.rank_summaries(summaries, asked, 1).collect()] == [7]
+
+
+def graph_tables(spark):
+    """Three services that call one another, one of them under another name too, and one that nothing is linked to."""
+    sources = [(1, "order.md", "merged"), (2, "stock.md", "merged"), (3, "hidden.md", "disabled")]
+    chunks = [(10, 1, 1, 4, "Order Service calls Stock Service"), (11, 2, 1, 2, "Stock Service tells Mail Service"), (12, 3, 1, 9, "Lonely Thing"), (13, 2, 3, 6, "Lonely Thing by itself")]
+    entities = [(1, "orderservice", "Order Service", "Order Service Purchasing", "module", 1, 7), (2, "stockservice", "Stock Service", "Stock Service", "module", 2, 7), (3, "mailservice", "Mail Service", "Mail Service", "module", 1, 7), (4, "lonelything", "Lonely Thing", "Lonely Thing", "concept", 0, None)]
+    relations = [(1, 1, 2, "calls", 3, 0.9), (2, 2, 3, "calls", 1, 0.8), (3, 1, 3, "uses", 9, -1.0)]
+    mentions = [(1, 10, 1), (2, 10, 2), (3, 11, 2), (4, 11, 3), (5, 12, 4), (6, 13, 4)]
+    frame = spark.createDataFrame
+    return {
+        "sources": frame(sources, "id long, path string, state string"),
+        "chunks": frame(chunks, "id long, source_id long, start_line int, end_line int, text string"),
+        "entities": frame([(*e[:5], None, *e[5:]) for e in entities], "id long, norm_name string, name string, search_text string, type string, description string, degree long, community_id long"),
+        "relations": frame(relations, "id long, src_id long, dst_id long, type string, weight long, confidence double"),
+        "mentions": frame([(*m, 0, 1) for m in mentions], "id long, chunk_id long, entity_id long, span_start int, span_end int"),
+        "summaries": frame([(7, "orders and stock", ["Order Service"])], "community_id long, summary string, top array<string>"),
+    }
+
+
+def questions(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "qid long, question string")
+
+
+def test_local_search_by_alias_with_evidence_and_without_a_seed(spark):
+    tables = graph_tables(spark)
+    found = retrieval.local_search(tables, questions(spark, "purchasing", "xyzzy"), iterations=4)
+    assert {r.qid: r.outcome for r in found["outcomes"].collect()} == {0: "ok", 1: "NO_SEED"}
+    pack = retrieval.evidence_pack(tables, found)
+    assert [r.name for r in pack["entities"].where("qid = 0").orderBy("rank").collect()][0] == "Order Service"
+    assert rows(pack["relations"].select("s", "r", "o", "w", "path", "lines")) == [("Order Service", "calls", "Stock Service", 3, "order.md", "1-4"), ("Stock Service", "calls", "Mail Service", 1, "order.md", "1-4")]
+    assert {r.path for r in pack["chunks"].collect()} == {"order.md", "stock.md"} and pack["chunks"].where("text LIKE 'Order%'").first().lines == "1-4"
+    assert pack["communities"].first().note == retrieval.SUMMARY_NOTE
+    assert {r.coverage for r in pack["outcomes"].collect()} == {"3 files / 4 entities / 3 relations"}
+
+
+def test_walks_for_many_questions_are_exact(spark):
+    from sparkweft.operators.graph import personalized_pagerank
+
+    tables = graph_tables(spark)
+    more = spark.range(10, 40).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    nodes = tables["entities"].select("id", "name").unionByName(more)
+    seeds = {0: {1: 2.0, 4: 1.0}, 1: {2: 1.0}, 2: {4: 1.0, 12: 3.0}}
+    many = retrieval.pagerank_many(nodes, tables["relations"], spark.createDataFrame([(q, i, w) for q, s in seeds.items() for i, w in s.items()], "qid long, id long, weight double"), keep=5)
+    for q, s in seeds.items():
+        one = {r.id: r.score for r in personalized_pagerank(nodes, tables["relations"], spark.createDataFrame(list(s.items()), "id long, weight double"), tolerance=None).collect()}
+        got = {r.id: r.score for r in many.where(F.col("qid") == q).collect()}
+        assert all(abs(got[i] - one[i]) < 1e-12 for i in got)
+        best = sorted(one, key=lambda i: (-round(one[i], 9), i))[:5]
+        assert set(best) <= set(got)
+
+
+def test_traversal_lists_ambiguous_names_and_places(spark):
+    tables = graph_tables(spark)
+    walk = retrieval.traversal_search(tables, questions(spark, "Order Service", "service", "nothing at all"), hops=1, direction="out")
+    assert {r.qid: (r.outcome, len(r.candidates)) for r in walk["seeds"].collect()} == {0: ("ok", 0), 1: ("ambiguous", 3), 2: ("NO_SEED", 0)}
+    edges = retrieval.with_evidence(walk["edges"], tables).collect()
+    assert [(r.s, r.o, r.path, r.lines) for r in edges] == [("Order Service", "Stock Service", "order.md", "1-4")]
+    nowhere = retrieval.places(spark.createDataFrame([(99,)], "entity_id long"), tables).first()
+    assert (nowhere.path, nowhere.lines) == (retrieval.NO_PLACE, retrieval.NO_LINES)
+
+
+def test_global_search_needs_summaries(spark):
+    import pytest
+
+    from sparkweft.functions.vocabulary import EngineError
+
+    tables = graph_tables(spark)
+    with pytest.raises(EngineError, match="NOT_INDEXED"):
+        retrieval.global_search(tables, tables["summaries"].limit(0), questions(spark, "orders"))
+    got = retrieval.global_search(tables, tables["summaries"], questions(spark, "orders"), scorer=lambda q, part: [1.0] * len(part))
+    assert {r.chunk_id for r in got["chunks"].collect()} == {10, 11}
