@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions.text import strip_fences
 from sparkweft.functions.vocabulary import ENTITY_TYPES, RELATION_TYPES
+from sparkweft.operators.lexical import names_in_texts
+from sparkweft.sources.tables import once_per_key, with_keys, written
 
 ITEMS = "struct<entities:array<struct<n:string,t:string,d:string,c:double>>,relations:array<struct<s:string,r:string,o:string,d:string,c:double>>>"
 #: Given a chunk's text and path, the raw answer of a model. Anything callable will do; tests use rules.
@@ -110,18 +112,28 @@ def occurrences(text: Column, name: Column) -> Column:
 
 def compute_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """``(chunk_id, entity_id, span_start, span_end)``: every occurrence in a chunk's text of the names ``(chunk_id,
-    entity_id, name)`` found in that chunk. Each text is lower-cased once, before it meets its names."""
-    texts = chunks.select(F.col("id").alias("chunk_id"), F.lower("text").alias("text")).where("text IS NOT NULL").dropDuplicates(["chunk_id"])
-    rows = names.select("chunk_id", "entity_id", F.lower("name").alias("name")).where("length(name) > 0").distinct().join(texts, "chunk_id")
-    spans = rows.select("chunk_id", "entity_id", "name", F.explode(occurrences(F.col("text"), F.col("name"))).alias("span_start"))
-    return spans.select("chunk_id", "entity_id", "span_start", (F.col("span_start") + F.length("name")).alias("span_end"))
+    entity_id, name)`` found in that chunk. Each text is lower-cased once, before it meets its names, and it meets them all
+    at once, so it isn't copied for each."""
+    ids = names.select("chunk_id").distinct()
+    texts = with_keys(chunks.select(F.col("id").alias("chunk_id"), "text").where("text IS NOT NULL"), "chunk_id", ids)
+    texts = once_per_key(texts, "chunk_id").select("chunk_id", F.lower("text").alias("text"))
+    pairs = names.select("chunk_id", "entity_id", F.lower("name").alias("name")).where("length(name) > 0").distinct()
+    listed = pairs.groupBy("chunk_id").agg(F.collect_list(F.struct("entity_id", "name")).alias("names"))  # names of one chunk
+    rows = listed.join(texts, "chunk_id")
+    found = rows.select("chunk_id", F.explode(F.transform("names", lambda n: F.struct(n["entity_id"].alias("entity_id"), F.length(n["name"]).alias("size"), occurrences(F.col("text"), n["name"]).alias("at")))).alias("n"))
+    spans = found.select("chunk_id", "n.entity_id", "n.size", F.explode("n.at").alias("span_start"))
+    return spans.select("chunk_id", "entity_id", "span_start", (F.col("span_start") + F.col("size")).alias("span_end"))
 
 
 def assign_precomputed(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items known for a whole source, given to its chunks: an entity ``(source_id, name)`` to every chunk that contains
     its name, a relation ``(source_id, rel_id, s, o)`` to the first chunk that contains either end."""
-    texts = chunks.select("source_id", F.col("id").alias("chunk_id"), "ordinal", "text")
-    found = texts.join(entities, "source_id").where(F.contains("text", "name")).select("chunk_id", "name")
-    ends = texts.join(relations, "source_id").where(F.contains("text", "s") | F.contains("text", "o"))
-    first = ends.groupBy("source_id", "rel_id").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("chunk_id"))
+    texts = chunks.select(F.col("source_id").alias("grp"), "id", "text").where("text IS NOT NULL")
+    ends = relations.select("source_id", "rel_id", F.explode(F.array("s", "o")).alias("name")).distinct()
+    names = entities.select("source_id", "name").unionByName(ends.select("source_id", "name")).withColumnRenamed("source_id", "grp")
+    met = written(names_in_texts(texts, names), "names").withColumnsRenamed({"grp": "source_id", "id": "chunk_id"})
+    found = met.join(entities.select("source_id", "name").distinct(), ["source_id", "name"], "left_semi").select("chunk_id", "name")
+    order = chunks.select(F.col("id").alias("chunk_id"), "ordinal").distinct()
+    at = met.join(ends, ["source_id", "name"]).select("source_id", "rel_id", "chunk_id").distinct().join(order, "chunk_id")
+    first = at.groupBy("source_id", "rel_id").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("chunk_id"))
     return found, first.select("chunk_id", "rel_id")

@@ -70,7 +70,7 @@ def correct_relations(relations: DataFrame, entities: DataFrame, corrections: Da
 
 def review_sample(relations: DataFrame, judged: DataFrame, limit: int = 20) -> DataFrame:
     """``(id, confidence, rank)``: relations to review, the least certain first, sure ones (1 and above) only to fill up;
-    neither excluded nor judged ones, and never more than ``limit``."""
+    neither excluded nor judged ones, and never more than ``limit`` (on purpose: the engine surveyed may give more)."""
     rows = relations.where("confidence >= 0").join(judged.select("id").distinct(), "id", "left_anti")
     key = F.struct((F.col("confidence") >= 1).alias("sure"), F.when(F.col("confidence") < 1, F.col("confidence")).alias("c"), F.col("id").alias("i"))
     best = rows.select("id", "confidence", key.alias("k")).orderBy("k").limit(limit)
@@ -134,11 +134,19 @@ def community_list(entities: DataFrame, limit: int = 50, top: int = 8) -> DataFr
     return sizes.join(lists, "community_id")
 
 
+_LINES = 64
+
+
 def evidence_text(chunks: DataFrame, sources: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(path, first, last, chunk_id)``: for each wanted line range the first chunk of the file that holds all of it."""
+    """``(path, first, last, chunk_id)``: for each wanted line range the first chunk of the file that holds all of it.
+
+    Ranges and chunks meet by stretches of lines, so a file with many of both isn't compared all by all.
+    """
     of = sources.select(F.col("id").alias("source_id"), "path").distinct()
-    rows = chunks.select(F.col("id").alias("chunk_id"), "source_id", "ordinal", "start_line", "end_line").distinct().join(of, "source_id")
-    hit = wanted.join(rows, "path").where("start_line <= first AND end_line >= last")
+    stretches = F.explode(F.expr(f"sequence(start_line div {_LINES}, greatest(start_line, end_line) div {_LINES})")).alias("_stretch")
+    rows = chunks.select(F.col("id").alias("chunk_id"), "source_id", "ordinal", "start_line", "end_line").where("start_line IS NOT NULL AND end_line IS NOT NULL").distinct()
+    rows = rows.select("*", stretches).join(of, "source_id")
+    hit = wanted.withColumn("_stretch", F.expr(f"first div {_LINES}")).join(rows, ["path", "_stretch"]).where("start_line <= first AND end_line >= last")
     return hit.groupBy("path", "first", "last").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("chunk_id"))
 
 
