@@ -49,6 +49,12 @@ def letter23(code: str) -> bool:
     return bool(re.fullmatch(r"\d{8}[A-Z]", code)) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(code[:8]) % 23] == code[8]
 
 
+def _checked(number: str) -> bool:
+    """Whether any of the check digits holds that such a number may have."""
+    plain = re.sub(r"[\s./-]", "", number)
+    return any(check(plain) for check in (resident_id, letter23, mod97)) or plain.isdigit() and len(plain) >= 9 and luhn(plain)
+
+
 # --- patterns -----------------------------------------------------------------------------------------------------
 
 _B = r"[ \t\u00a0\u2009\u202f]"
@@ -56,6 +62,7 @@ _B = r"[ \t\u00a0\u2009\u202f]"
 _AT = re.compile(r"[@＠﹫]|(?<=[\[({<])[ \t]*(?:at|AT|At|ät)[ \t]*(?=[\])}>])|(?<=[ \t])(?P<spoken>at|AT)(?=[ \t])")
 _DOT = rf"(?:[.．。｡]|{_B}*[\[({{]{_B}*(?:dot|DOT|\.){_B}*[\])}}]{_B}*|{_B}+(?:dot|DOT|punkt|punto){_B}+)"
 _LOCAL = re.compile(rf"(?<![\w.+%-])[^\W_](?:[\w.+%-]|{_B}*[\[(]dot[\])]{_B}*)*{_B}*[\[({{<]?{_B}*\Z")
+_MAILBOX = re.compile(rf"[\w.+%-]+{_B}*[\[({{<]?{_B}*")
 _DOMAIN = re.compile(rf"{_B}*[\])}}>]?{_B}*[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+(?!\w)")
 #: Ends of host names that are accepted after a spoken "at", which also stands before files and times.
 _HOST_END = re.compile(r"(?i)(?:example|test|invalid|localhost|com|org|net|edu|gov|int|mil|info|biz|name|io|dev|app|ai|co|de|fr|es|it|nl|uk|us|ch|at|be|se|no|fi|dk|pl|cz|pt|ru|ua|cn|jp|kr|in|br|mx|ca|au|nz|eu)$")
@@ -65,7 +72,7 @@ _PHONE_SHAPES = re.compile(
     r"\+\d{8,15}|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}|00\d{1,3}(?:[ .-]\d{1,9}){2,6}|(?:1[ .-])?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}"
     r"|\(0\d{1,4}\)[ -]?\d{3,5}(?:[ -]\d{3,5}){0,2}|0\d(?:[ .]\d\d){4}|0\d{2,4}[ /-]\d{3,4}[ -]\d{3,4}|0\d{3,5}[ /-]\d{5,7}|1[3-9]\d[ -]?\d{4}[ -]?\d{4}"
 )
-_CALLS = re.compile(r"(?i)(?:\btel\b|telef|phone|\bcall\b|mobil|handy|\bcell\b|\bfax\b|reachable|whatsapp|\bsms\b|dial|rufnummer|电话|來電|来电|手机|致电|тел\b|звон|llam|\bappel)")
+_CALLS = re.compile(r"(?i)(?:\bmy (?:\w+ )?number\b|\breach (?:me|us|her|him|them)\b|\bring (?:me|us)\b|\btel\b|telef|phone|\bcall\b|mobil|handy|\bcell\b|\bfax\b|reachable|whatsapp|\bsms\b|dial|rufnummer|电话|來電|来电|手机|致电|тел\b|звон|llam|\bappel)")
 _ORDERS = re.compile(r"(?i)(?:\b(?:order|ticket|isbn|issn|build|sku|span|line|column|version|release|invoice|retry|port|hash|commit|rfc|pid)\b|№ заказа|订单|\bat \d|\bts=)[^\n.!?]{0,14}$")
 
 _ID_WORD = (
@@ -78,6 +85,10 @@ _ID = re.compile(rf"(?i)(?<![^\W\d_\u3400-\u9fff]){_ID_WORD}{_B}*(?:is|lautet|[:
 _ID_TAIL = re.compile(r"(?:[ ./-][a-z]{2,}|[ ./-][A-Za-z]?[a-z]+)+$|[ ][A-Za-z]{2,}$")
 _ID_BARE = re.compile(r"(?<![\w./-])(?:\d{3}-\d{2}-\d{4}|\d{6}(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-]|[./]\d)")
 
+#: Digits in groups that say nothing by themselves, and words near them that hint at an id.
+_ID_GROUPS = re.compile(r"(?<![\w./:+-])\d{3}[ -]\d{3}[ -]\d{3}(?![\w-]|[./:]\d|[ -]\d)")
+_ID_NEAR = re.compile(r"(?i)\b(?:sin|social|insur(?:ed|ance)|citizen|resident|residence|permit|identity|holder|taxpayer|id)\b[^\n]{0,20}\Z")
+
 _CAP = r"[A-ZÀ-ÖØ-ÞĀ-ŽЀ-Я][\w'’]*"
 #: Latin letters, digits and joints; other scripts may stand right before an address.
 _L = r"(?<![A-Za-z0-9\u00c0-\u024f.,/-])"
@@ -107,6 +118,12 @@ _ADDRESSES = [(words, re.compile(pattern)) for words, pattern in _ADDRESSES]
 #: A text without any of these, lower-cased, has no word that announces an id number.
 _ID_HINTS = ("social", "national", "identi", "id card", "id-", "id n", "passport", "ausweis", "reisepass", "steuer", "tax ", "инн", "снилс", "паспорт", "curité", "n° de", "licen", "schein", "permis", "证", "护照", "驾照", "社保", "税")
 _ID_SHORT = re.compile(r"(?i:\b(?:ssn|tin|itin|vat|nir|dni|nie|nif|cpf|curp|bsn|pesel)\b)")
+#: Titles that hardly stand before anything but a name.
+_FIRM = re.compile(r"(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Señora?|Г-н|Г-жа)\Z")
+#: What stands behind a label but is no person, and the shapes of family names that need no list.
+_BODIES = re.compile(r"(?i)(?:team|support|service|services|group|department|centre|center|office|desk|inc|ltd|gmbh|labs?|systems?|committee|board|project|server|cluster|admins?|engineering|platform|operations|research|security|sales|marketing|finance|community|foundation|university|institute|company|street|road|page|list|queue|index|store|cache|table|report|number|address|name|date|status|version)s?\Z")
+_FAMILY_SHAPE = re.compile(r"(?:O['’]|Mc|Mac|Fitz|D['’])[A-ZÀ-Þ]\w+\Z")
+_LABEL = re.compile(r"""(?i)\b(?:contact(?: person)?|full name|applicant|patient|customer name|employee|attn|attention|ansprechpartner(?:in)?|kontaktperson)["']?\s*[:：=]\s*["']?\Z""")
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Don|Doña|Г-н|Г-жа)"
 _NAME = re.compile(
     rf"(?<![\w-])(?=(?:(?P<title>{_TITLE})\.?{_B}(?:{_CAP}{_B})?(?P<tf>{_CAP})(?![\w-])|(?P<g>{_CAP}(?:-{_CAP})?)(?:{_B}[A-ZЀ-Я]\.)*{_B}(?P<f>{_CAP}(?:-{_CAP})?)(?![\w-])|(?P<f2>{_CAP}),{_B}(?P<g2>{_CAP}(?:-{_CAP})?)(?:{_B}[A-ZЀ-Я]\.)*(?![\w-])))(?P<at>{_CAP})"
@@ -138,7 +155,12 @@ class Detector:
     def _emails(self, text: str) -> Iterator[Span]:
         for m in _AT.finditer(text):
             domain = _DOMAIN.match(text, m.end())
-            local = domain and _LOCAL.search(text, max(0, m.start() - 100), m.start())
+            local, at = None, m.start()
+            while domain and local is None and at > 0:  # a mailbox longer than what was looked at goes on farther back
+                at = max(0, 2 * at - m.start() - 100)
+                local = _LOCAL.search(text, at, m.start())
+                if not _MAILBOX.fullmatch(text, at, m.start()):
+                    break
             if not local:
                 continue
             end = re.split(_DOT, domain[0])[-1]
@@ -149,18 +171,23 @@ class Detector:
             yield Span(local.start(), domain.end(), "email")
 
     def _ids(self, text: str) -> Iterator[Span]:
+        """Numbers by label, by shape, or by check digits: a label says most, then a shape that only such numbers have; a
+        check digit that holds adds to any of them, and without a label or such a shape it is what decides."""
         low = text.lower()
         for m in _ID.finditer(text) if any(w in low for w in _ID_HINTS) or _ID_SHORT.search(text) else ():
             number = _ID_TAIL.sub("", m["number"])
             digits = re.sub(r"\D", "", number)
-            score = 2 + (len(digits) >= 5) - 2 * (len(digits) < 5 or len(re.findall(r"[A-Za-z]{5,}", number)) > 0)
-            score += any(check(re.sub(r"[\s./-]", "", number)) for check in (resident_id, letter23, mod97)) or luhn(digits or "1")
-            if score >= ENOUGH:
+            score = 2 + (len(digits) >= 5) - 2 * (len(re.findall(r"[A-Za-z]{5,}", number)) > 0) - (len(digits) < 5) + 2 * _checked(number)
+            if score >= ENOUGH and len(digits) >= 3:
                 yield Span(m.start("number"), m.start("number") + len(number), "id_number")
         for m in _ID_BARE.finditer(text):
             score = 2 + (m[0][3:4] == "-") + 2 * (resident_id(m[0]) or m[0][0].isalpha() and mod97(m[0])) + (len(m[0]) == 18 and m[0][:17].isdigit())
             if score - 3 * bool(_ORDERS.search(text, max(0, m.start() - 30), m.start())) - 2 * (m[0][0].isalpha() and not mod97(m[0])) >= ENOUGH:
                 yield Span(m.start(), m.end(), "id_number")
+        for m in _ID_GROUPS.finditer(text):
+            score = 1 + bool(_ID_NEAR.search(text, max(0, m.start() - 30), m.start())) + _checked(m[0]) - 3 * bool(_ORDERS.search(text, max(0, m.start() - 30), m.start()))
+            if score >= ENOUGH:
+                yield Span(m.start(), m.end(), "id_number")
 
     def _phones(self, text: str) -> Iterator[Span]:
         for m in _PHONE.finditer(text):
@@ -191,7 +218,10 @@ class Detector:
             kind = "t" if m["title"] else "g" if m["f"] else "f"
             first, last, end = {"t": ("", m["tf"], m.end("tf")), "g": (m["g"], m["f"], m.end("f")), "f": (m["g2"], m["f2"], m.end("g2"))}[kind]
             score = 3 * self._part(last, self.family) or 1 * (last[-3:].lower() in self.endings and len(last) > 4)
-            score += 2 * self._part(first, self.given) if first else 2
+            score += 2 * self._part(first, self.given) if first else 2 + bool(_FIRM.match(m["title"]) and not _BODIES.match(last) and not last.isupper())
+            score += bool(first) and bool(_FAMILY_SHAPE.match(last))
+            if first and score < ENOUGH and not _BODIES.match(last) and not _BODIES.match(first) and _LABEL.search(text, max(0, m.start() - 40), m.start()):
+                score += 2 + (len(first) > 2 and first[1:].islower() and last[1:].islower())
             if not score:
                 continue
             if score < ENOUGH:

@@ -67,3 +67,14 @@ def test_tables(spark):
     got = {r.doc_id: r.text for r in pii.anonymised(df, NAMES).where("doc_id < 4").collect()}
     assert got == {1: "a\nTel: [PHONE] or [PHONE], [EMAIL]\r\n[EMAIL]", 2: None, 3: ""}
     assert pii.known_names(spark.createDataFrame([("A", "given"), ("A", "given"), (None, "x"), ("", "given")], "name string, kind string")) == [("A", "given")]
+
+
+def test_names_beyond_the_list_check_digits_and_long_mailboxes():
+    d = pii.Detector([("Anna", "given"), ("Keller", "family")])
+    found = lambda t: [(s.kind, t[s.start : s.end]) for s in d.spans(t)]
+    assert found("Siobhan O'Rourke wrote the doc") == [("name", "Siobhan O'Rourke")]
+    assert found("Contact: Priya Raghunathan") == [("name", "Priya Raghunathan")] and found("Contact: Platform Team") == []
+    assert found("Dr. Nguyen is here") == [("name", "Dr. Nguyen")] and found("the Miss Rate grows") == []
+    assert found("my number is 2125550134") == [("phone", "2125550134")]
+    assert found("insured 046 454 286 since")[0][0] == "id_number" and found("insured 046 454 287 since") != found("insured 046 454 286 since")
+    assert found("x" * 500 + "@host.example.org") == [("email", "x" * 500 + "@host.example.org")]
