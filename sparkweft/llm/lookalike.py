@@ -199,3 +199,15 @@ def same_looking(entities: DataFrame, key: str = "id", name: str = "name", expan
     x = members.select(F.col("id").alias("x"), F.col("name").alias("name_x"), "form", F.expr("pmod(xxhash64(id), salts)").cast("int").alias("salt"))
     y = members.select(F.col("id").alias("y"), F.col("name").alias("name_y"), "form", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     return x.join(y, ["form", "salt"]).where("x < y AND name_x <> name_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def look_alike_groups(entities: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
+    """``(id, group_id, spellings, links)`` of every row with a name: the least id of those whose names look the same, how many
+    spellings they have, and with how many rows of other spellings the row is linked. Nothing is gathered and no pair is
+    written, so a name that a third of all rows share costs a row each. Repeated rows count once."""
+    rows = entities.select(entities[key].cast("long").alias("id"), entities[name].alias("name")).where("id IS NOT NULL AND name <> ''").distinct()
+    spelled = rows.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    forms = canonical_texts(spelled.withColumn("form", F.col("name")), "form", classes=look_alike_classes(spelled, "name"))
+    groups = forms.groupBy("form").agg(F.min("first").alias("group_id"), F.count("*").alias("spellings"), F.sum("n").alias("rows"))
+    named = forms.join(groups, "form").select("name", "group_id", "spellings", (F.col("rows") - F.col("n")).alias("links"))
+    return rows.join(named, "name").select("id", "group_id", "spellings", "links")

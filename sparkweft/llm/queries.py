@@ -91,6 +91,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking(read_table(spark, d, "entities", ["id", "name"]), expand=None).toDF("entity_id_a", "entity_id_b")
 
 
+@query("p5_groups")
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_groups(read_table(spark, d, "entities", ["id", "name"])).withColumnRenamed("id", "entity_id")
+
+
 @query("p5_names")
 def p5_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(read_table(spark, d, "entities", ["id", "name", "norm_name"]).distinct(), "name", "norm_name")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweft.sources.tables import once_per_key
+
 #: An estimated token is one CJK character or 3.5 others that aren't blank; weights are in sevenths of a token.
 _CJK, _OTHER, _TOKEN = 7, 2, 7
 _BLANKS = np.array([*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF], np.uint32)
@@ -100,9 +102,9 @@ def split_oversized(chunks: DataFrame, limit: int = 1400, overlap: int = 100, ke
     estimate above ``limit``; ``piece_no`` counts from 1, offsets are code points of the chunk's text.
 
     Lines are those of the file: the chunk's ``start_line`` (1 where it is null or missing) plus the line feeds before.
-    Chunks up to the limit, null and empty texts and rows without a key yield nothing; repeated rows count once. Only
-    texts with more characters than the limit, which no other text can exceed, leave the JVM, and nothing but what is
-    found is shuffled.
+    Chunks up to the limit, null and empty texts and rows without a key yield nothing; repeated ids count once (of
+    different texts under one id the greatest with its line). Only texts with more characters than the limit, which no
+    other text can exceed, leave the JVM, and only those of repeated ids are shuffled.
     """
     schema = "chunk_id long, piece_no int, start int, end int, text string, token_est int, start_line int, end_line int"
 
@@ -124,7 +126,7 @@ def split_oversized(chunks: DataFrame, limit: int = 1400, overlap: int = 100, ke
 
     line = F.coalesce(F.col("start_line").cast("int"), F.lit(1)) if "start_line" in chunks.columns else F.lit(1)
     rows = chunks.select(chunks[key].cast("long").alias("id"), line.alias("line"), chunks[text].alias("text")).where((F.length("text") > limit) & F.col("id").isNotNull())
-    return rows.mapInArrow(run, schema).dropDuplicates(["chunk_id", "piece_no"])
+    return once_per_key(rows, "id").select("id", "line", "text").mapInArrow(run, schema)
 
 
 def oversized(chunks: DataFrame, limit: int = 1400, overlap: int = 100) -> DataFrame:

@@ -100,3 +100,15 @@ def test_split_tables(spark):
     assert [r.piece_no for r in got] == list(range(1, len(got) + 1)) and got[0].start_line == 11 and got[-1].end_line == 910
     assert all(r.token_est <= 1400 and r.text == text[r.start : r.end] and r.text.count("\n") == r.end_line - r.start_line + 1 for r in got)
     assert rows(splitting.oversized(df)) == [(1,), (2,)] and splitting.oversized(df.limit(0)).count() == 0
+
+
+def test_groups_of_look_alikes(spark):
+    data = [(n, "Office") for n in range(5, 1000)] + [(1, "Оffice"), (2, "Office​"), (3, "other"), (4, None), (None, "Office"), (5, "Office")]
+    got = {r.id: (r.group_id, r.spellings, r.links) for r in lookalike.look_alike_groups(spark.createDataFrame(data, "id long, name string")).collect()}
+    assert got[1] == (1, 3, 996) and got[2] == (1, 3, 996) and got[7] == (1, 3, 2) and got[3] == (3, 1, 0) and len(got) == 998
+
+
+def test_two_texts_under_one_id_arent_mixed(spark):
+    a, b = ("word " * 6000, "term " * 9000)
+    got = splitting.split_oversized(spark.createDataFrame([(1, a), (1, b)], "id long, text string")).orderBy("piece_no").collect()
+    assert {w for r in got for w in r.text.split()} == {"word"} and [r.piece_no for r in got] == list(range(1, len(got) + 1))
