@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -12,16 +13,41 @@ from pyspark.sql import functions as F
 from sparkweft.functions.text import strip_fences
 from sparkweft.functions.vocabulary import ENTITY_TYPES, RELATION_TYPES
 from sparkweft.operators.lexical import names_in_texts
+from sparkweft.operators.models import IDLE_SECONDS, TOTAL_SECONDS, braces, within
 from sparkweft.sources.tables import once_per_key, with_keys, written
 
-ITEMS = "struct<entities:array<struct<n:string,t:string,d:string,c:double>>,relations:array<struct<s:string,r:string,o:string,d:string,c:double>>>"
+_ENTITY, _RELATION = "struct<n:string,t:string,d:string,c:double>", "struct<s:string,r:string,o:string,d:string,c:double>"
 #: Given a chunk's text and path, the raw answer of a model. Anything callable will do; tests use rules.
 Completer = Callable[[str, str], str]
 
 
-def parsed(raw: Column) -> Column:
-    """The answer as a struct, null if it isn't JSON of that shape."""
-    return F.from_json(strip_fences(raw), ITEMS, {"mode": "PERMISSIVE"})
+def _kind(item: Column, field: str) -> Column:
+    """The type of a field as JSON has it: null where it is missing, VOID where it is null."""
+    return F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+
+
+def _spelled(item: Column, field: str, empty: bool = False) -> Column:
+    """Whether a field is a string, and not an empty one unless that will do."""
+    said = F.coalesce(_kind(item, field) == "STRING", F.lit(False))
+    return said if empty else said & (F.length(F.try_variant_get(item, f"$.{field}", "string")) > 0)
+
+
+def _formed(item: Column, names: tuple[str, ...], kind: str) -> Column:
+    note = F.coalesce(_kind(item, "d").isin("STRING", "VOID"), F.lit(True))
+    sure = F.coalesce(_kind(item, "c").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    formed = _spelled(item, kind, empty=True) & note & sure
+    for name in names:
+        formed = formed & _spelled(item, name)
+    return formed
+
+
+def _list(answer: Column, field: str) -> Column:
+    """The items of a list, none where it is missing, null where it is no list."""
+    return F.when(_kind(answer, field).isNull(), F.expr("cast(array() as array<variant>)")).otherwise(F.try_variant_get(answer, f"$.{field}", "array<variant>"))
+
+
+def _read(item: Column, fields: tuple[str, ...]) -> Column:
+    return F.struct(*(F.try_variant_get(item, f"$.{f}", "double" if f == "c" else "string").alias(f) for f in fields))
 
 
 def _sure(c: Column, least: float) -> Column:
@@ -38,33 +64,49 @@ def good_relations(items: Column, least: float) -> Column:
 
 def validate_output(answers: DataFrame, raw: str, least: float = 0.6) -> DataFrame:
     """The rows of ``answers`` with ``entities``, ``relations``, ``dropped`` (items of other types or confidences) and
-    ``outcome``: ok, EMPTY (nothing there) or PARSE_FAILED (no JSON, or nothing left of what was there)."""
-    rows = answers.withColumn("_items", parsed(F.col(raw)))
-    rows = rows.withColumn("entities", F.coalesce(good_entities(F.col("_items"), least), F.expr("cast(array() as array<struct<n:string,t:string,d:string,c:double>>)")))
-    rows = rows.withColumn("relations", F.coalesce(good_relations(F.col("_items"), least), F.expr("cast(array() as array<struct<s:string,r:string,o:string,d:string,c:double>>)")))
-    every = F.coalesce(F.size("_items.entities"), F.lit(0)) + F.coalesce(F.size("_items.relations"), F.lit(0))
+    ``outcome``: ok, PARSE_FAILED (no JSON, or nothing left of what was there) or EMPTY (JSON with nothing in it, or not of
+    the shape asked for, of which nothing is taken)."""
+    body = strip_fences(F.col(raw))
+    whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1  # nothing but blanks follows
+    rows = answers.withColumn("_json", F.when(whole, F.try_parse_json(body)))
+    answer = F.col("_json")
+    rows = rows.withColumn("_e", _list(answer, "entities")).withColumn("_r", _list(answer, "relations"))
+    formed = F.col("_e").isNotNull() & F.col("_r").isNotNull() & F.schema_of_variant(answer).startswith("OBJECT")
+    formed = formed & F.forall("_e", lambda e: _formed(e, ("n",), "t")) & F.forall("_r", lambda r: _formed(r, ("s", "o"), "r"))
+    items = F.struct(F.transform("_e", lambda e: _read(e, ("n", "t", "d", "c"))).alias("entities"), F.transform("_r", lambda r: _read(r, ("s", "r", "o", "d", "c"))).alias("relations"))
+    rows = rows.withColumn("_items", F.when(F.coalesce(formed, F.lit(False)), items))
+    rows = rows.withColumn("entities", F.coalesce(good_entities(F.col("_items"), least), F.expr(f"cast(array() as array<{_ENTITY}>)")))
+    rows = rows.withColumn("relations", F.coalesce(good_relations(F.col("_items"), least), F.expr(f"cast(array() as array<{_RELATION}>)")))
+    every = F.coalesce(F.size("_items.entities") + F.size("_items.relations"), F.lit(0))
     kept = F.size("entities") + F.size("relations")
     rows = rows.withColumn("dropped", F.greatest(every, F.lit(0)) - kept)
-    outcome = F.when(F.col("_items").isNull() | ~F.contains(F.coalesce(F.col(raw), F.lit("")), F.lit("{")), "PARSE_FAILED").when(kept > 0, "ok").when(F.col("dropped") > 0, "PARSE_FAILED").otherwise("EMPTY")
-    return rows.withColumn("outcome", outcome).drop("_items")
+    outcome = F.when(F.col("_json").isNull(), "PARSE_FAILED").when(kept > 0, "ok").when(F.col("dropped") > 0, "PARSE_FAILED").otherwise("EMPTY")
+    return rows.withColumn("outcome", outcome).drop("_items", "_json", "_e", "_r")
 
 
-def complete_chunks(chunks: DataFrame, completer: Completer, repairs: int = 1, retries: int = 3, delay: float = 0.5) -> DataFrame:
+def complete_chunks(chunks: DataFrame, completer: Completer, repairs: int = 1, retries: int = 3, delay: float = 0.5, idle: float = IDLE_SECONDS, total: float = TOTAL_SECONDS) -> DataFrame:
     """``(chunk_id, raw, calls, error)``: the model's answer for each chunk, asked where the chunk is.
 
-    An answer without an object is asked for again up to ``repairs`` times. A RATE_LIMIT is waited out, twice as long each
-    time; CONTEXT_WINDOW halves the text at the line end nearest its middle, once. Other errors are rows, not exceptions.
+    An answer that is no JSON is asked for again up to ``repairs`` times, with the error if the completer has a ``repair``.
+    A RATE_LIMIT is waited out, twice as long each time; CONTEXT_WINDOW halves the text at the line end nearest its middle,
+    once; an answer that stalls for ``idle`` seconds or isn't whole after ``total`` is a TIMEOUT. Errors are rows.
     """
 
     def ask(text: str, path: str) -> tuple[str | None, int, str | None]:
-        calls, tried, waited = 0, 0, 0
+        calls, tried, waited, call = 0, 0, 0, lambda: completer(text, path)
         while True:
             try:
-                raw = completer(text, path)
+                raw = within(call, idle, total)
                 calls += 1
-                if "{" in raw or tried >= repairs:
-                    return raw, calls, None if "{" in raw else "PARSE_FAILED"
-                tried += 1
+                try:
+                    json.loads(braces(raw))
+                    return raw, calls, None
+                except ValueError as e:
+                    if tried >= repairs:
+                        return raw, calls, "PARSE_FAILED"
+                    tried, wrong, error = tried + 1, raw, str(e)
+                    if hasattr(completer, "repair"):
+                        call = lambda: completer.repair(wrong, error)
             except Exception as e:  # noqa: BLE001
                 code = getattr(e, "code", "LLM_ERROR")
                 if code == "RATE_LIMIT" and waited < retries:

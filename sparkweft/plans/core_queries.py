@@ -265,9 +265,30 @@ def _(spark, d):
     return chunking.document_blocks(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), "doc_id")
 
 
-@query("chunk_documents")
+@query(
+    "chunk_documents",
+    f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS n FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT *, regexp_matches(line, '[^{B_}]') AS solid, regexp_matches(line, '^#{{1,6}}[{B_}]') AS head FROM d),
+    r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM s WHERE solid),
+    h AS (SELECT *, first_value(head) OVER w AS begins, CASE WHEN max(head) OVER (w ROWS UNBOUNDED PRECEDING) THEN 1 ELSE 0 END AS after FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY n)),
+    k AS (SELECT doc_id, min(n) AS first, max(n) AS last, string_agg(line, chr(10) ORDER BY n) AS body FROM h GROUP BY doc_id, run, CASE WHEN begins THEN 0 ELSE after END),
+    b AS MATERIALIZED (SELECT *, {_est('body')} AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS i FROM k),
+    g AS (SELECT doc_id, i, 1 AS chunk, cost AS size, cost > 1400 AS big FROM b WHERE i = 1
+      UNION ALL SELECT b.doc_id, b.i, CASE WHEN g.big OR b.cost > 1400 OR g.size + b.cost > 1000 THEN g.chunk + 1 ELSE g.chunk END, CASE WHEN g.big OR b.cost > 1400 OR g.size + b.cost > 1000 THEN b.cost ELSE g.size + b.cost END, b.cost > 1400
+      FROM g JOIN b ON b.doc_id = g.doc_id AND b.i = g.i + 1),
+    z AS MATERIALIZED (SELECT d.doc_id, d.n, d.line, {_est('d.line')} AS cost, b.first FROM b JOIN d ON d.doc_id = b.doc_id AND d.n BETWEEN b.first AND b.last WHERE b.cost > 1400),
+    p AS (SELECT doc_id, n, first, 1 AS part, cost AS size FROM z WHERE n = first
+      UNION ALL SELECT z.doc_id, z.n, z.first, CASE WHEN p.size + z.cost > 1400 THEN p.part + 1 ELSE p.part END, CASE WHEN p.size + z.cost > 1400 THEN z.cost ELSE p.size + z.cost END FROM p JOIN z ON z.doc_id = p.doc_id AND z.first = p.first AND z.n = p.n + 1),
+    c AS (SELECT b.doc_id, min(first) AS start_line, max(last) AS end_line, string_agg(body, chr(10) || chr(10) ORDER BY b.i) AS body FROM b JOIN g ON g.doc_id = b.doc_id AND g.i = b.i WHERE NOT g.big GROUP BY b.doc_id, g.chunk
+      UNION ALL SELECT doc_id, min(n), max(n), string_agg(line, chr(10) ORDER BY n) FROM p JOIN z USING (doc_id, n, first) GROUP BY doc_id, first, part)
+    SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY start_line) - 1)::INTEGER AS ordinal, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, length(l.line)::INTEGER AS end_col, {_est('body')} AS token_est, md5(body) AS body
+    FROM c JOIN d l ON l.doc_id = c.doc_id AND l.n = c.end_line
+    """,
+)
 def _(spark, d):
-    return chunking.chunk_documents(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), "doc_id")
+    rows = chunking.chunk_documents(read_table(spark, d, "documents", ["doc_id", "text"], spread=True), "doc_id")
+    return rows.select("doc_id", "ordinal", "start_line", "end_line", "end_col", "token_est", F.md5("text").alias("body"))
 
 
 @query(
@@ -281,7 +302,32 @@ def _(spark, d):
     return rows.select("id", (F.size(extraction.good_relations(F.col("items"), 0.6)) == 1).alias("kept"))
 
 
-@query("validate_output")
+_BODY_CTES = rf"""t AS (SELECT doc_id, regexp_replace(text, '^[{B_}]+|[{B_}]+$', '', 'g') AS t FROM documents),
+    f AS (SELECT doc_id, t, regexp_extract(t, '(?is)```(?:json)?\s*(.*?)\s*```', 1) AS f FROM t),
+    i AS (SELECT doc_id, regexp_replace(CASE WHEN f <> '' THEN f ELSE t END, '^[{B_}]+|[{B_}]+$', '', 'g') AS s FROM f),
+    b AS (SELECT doc_id, regexp_replace(CASE WHEN instr(s, '{{') > 0 AND instr(s, '}}') > 0 AND length(s) - instr(reverse(s), '}}') + 1 > instr(s, '{{')
+      THEN substr(s, instr(s, '{{'), length(s) - instr(reverse(s), '}}') + 1 - instr(s, '{{') + 1) ELSE s END, '^[{B_}]+|[{B_}]+$', '', 'g') AS body FROM i)"""
+
+
+def _formed_sql(names: tuple[str, ...], kind: str) -> str:
+    named = " AND ".join(f"json_type(x, '$.{n}') = 'VARCHAR' AND (x->>'$.{n}') <> ''" for n in names)
+    return f"coalesce(json_type(x) = 'OBJECT' AND {named} AND json_type(x, '$.{kind}') = 'VARCHAR' AND coalesce(json_type(x, '$.d'), 'NULL') IN ('VARCHAR', 'NULL') AND json_type(x, '$.c') IN ('DOUBLE', 'UBIGINT', 'BIGINT'), FALSE)"
+
+
+def _good_sql(kind: str, types: list[str]) -> str:
+    return f"(x->>'$.{kind}') IN ({', '.join(repr(t) for t in types)}) AND (x->>'$.c')::DOUBLE > 0 AND (x->>'$.c')::DOUBLE <= 1 AND (x->>'$.c')::DOUBLE >= 0.6"
+
+
+@query(
+    "validate_output",
+    f"""WITH {_BODY_CTES}, j AS (SELECT doc_id, CASE WHEN body <> '' AND json_valid(body) AND NOT regexp_matches(body, ',\\s*[\\]}}]') THEN body::JSON END AS j FROM b),
+    l AS (SELECT doc_id, j, coalesce(json_type(j, '$.entities'), 'ARRAY') = 'ARRAY' AND coalesce(json_type(j, '$.relations'), 'ARRAY') = 'ARRAY' AND json_type(j) = 'OBJECT' AS lists,
+      coalesce(json_extract(j, '$.entities[*]'), []) AS e, coalesce(json_extract(j, '$.relations[*]'), []) AS r FROM j),
+    o AS (SELECT *, coalesce(lists AND len([x FOR x IN e IF NOT {_formed_sql(("n",), "t")}]) = 0 AND len([x FOR x IN r IF NOT {_formed_sql(("s", "o"), "r")}]) = 0, FALSE) AS formed FROM l),
+    k AS (SELECT *, CASE WHEN formed THEN len([x FOR x IN e IF {_good_sql("t", vocabulary.ENTITY_TYPES)}]) ELSE 0 END AS ke, CASE WHEN formed THEN len([x FOR x IN r IF {_good_sql("r", vocabulary.RELATION_TYPES)}]) ELSE 0 END AS kr,
+      CASE WHEN formed THEN len(e) + len(r) ELSE 0 END AS every FROM o)
+    SELECT doc_id, ke::INTEGER AS entities, kr::INTEGER AS relations, (every - ke - kr)::INTEGER AS dropped, CASE WHEN j IS NULL THEN 'PARSE_FAILED' WHEN ke + kr > 0 THEN 'ok' WHEN every > 0 THEN 'PARSE_FAILED' ELSE 'EMPTY' END AS outcome FROM k""",
+)
 def _(spark, d):
     rows = extraction.validate_output(read_table(spark, d, "documents", ["doc_id", "text"]), "text")
     return rows.select("doc_id", F.size("entities").alias("entities"), F.size("relations").alias("relations"), "dropped", "outcome")

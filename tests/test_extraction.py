@@ -57,3 +57,43 @@ def test_precomputed_items_go_to_their_chunks(spark):
     relations = spark.createDataFrame([(1, 5, "B", "Z")], "source_id long, rel_id long, s string, o string")
     found, first = extraction.assign_precomputed(chunks, names, relations)
     assert rows(found) == [(10, "A"), (11, "A"), (11, "B")] and rows(first) == [(11, 5)]
+
+
+def test_answers_that_are_no_json_or_of_another_shape(spark):
+    answers = ['{"entities": [broken', '{"entities": [{"n": "A", "t": "module", "c": 0.9},]}', '{"entities": []} and }', "[1]", '{"entities": "x"}', '{"entities": [{"n": 5, "t": "module", "c": 0.9}]}', '{"entities": [null]}', "{}"]
+    df = extraction.validate_output(spark.createDataFrame(list(enumerate(answers)), "id int, raw string"), "raw").orderBy("id")
+    assert [r.outcome for r in df.collect()] == ["PARSE_FAILED"] * 3 + ["EMPTY"] * 5
+
+
+def test_models_are_asked_again_with_the_error_and_given_up_in_time(spark):
+    import time
+
+    from sparkweft.operators import models
+
+    asked = []
+
+    def chat(system, user):
+        asked.append(system)
+        return iter(['{"entities": ', "["]) if system == models.EXTRACTION else '{"entities": []}'
+
+    completer = models.ChatCompleter(chat)
+    assert models.within(lambda: completer("t", "p")) == '{"entities": [' and models.within(lambda: completer.repair("x", "e")) == '{"entities": []}'
+    assert all(t in models.EXTRACTION for t in ("external_dependency", "depends_on"))
+
+    def stalls(text, path):
+        yield "{"
+        time.sleep(0.5 if "slow" in text else 0)
+        yield "}"
+
+    chunks = spark.createDataFrame([(1, "p", "slow"), (2, "p", "fast")], "id long, path string, text string")
+    assert rows(extraction.complete_chunks(chunks, stalls, idle=0.2)) == [(1, None, 0, "TIMEOUT"), (2, "{}", 1, None)]
+    assert models.summarizer_of(lambda s, u: 'so: {"summary": "short"}')(["A"], []) == "short" and models.summarizer_of(lambda s, u: "plain")([], []) == "plain"
+    assert models.scorer_of(lambda s, u: '{"scores": [3, 4]}')("q", ["a", "b"]) == [3.0, 4.0]
+
+
+def test_items_of_images_go_to_the_chunks_that_name_them(spark):
+    chunks = spark.createDataFrame([(1, 7, 0, "the Cache"), (2, 7, 1, "Disk and Cache"), (3, 8, 0, "Disk")], "id long, source_id long, ordinal int, text string")
+    names = spark.createDataFrame([(7, "Cache"), (7, "Disk"), (8, "Cache")], "source_id long, name string")
+    told = spark.createDataFrame([(7, 70, "Disk", "None"), (7, 71, "Disk", "Cache"), (8, 72, "x", "y")], "source_id long, rel_id long, s string, o string")
+    found, first = extraction.assign_precomputed(chunks, names, told)
+    assert rows(found) == [(1, "Cache"), (2, "Cache"), (2, "Disk")] and rows(first) == [(1, 71), (2, 70)]
