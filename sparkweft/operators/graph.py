@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -271,6 +272,25 @@ def summary_inputs(entities: DataFrame, relations: DataFrame, members: int = 8,
     return names.join(lines, "community_id", "left").select("community_id", "members", F.coalesce("edges", F.array().cast("array<string>")).alias("edges"), F.slice("members", 1, 5).alias("top"))
 
 
+def summaries_by_model(inputs: DataFrame, summarize: Callable[[list[str], list[str]], str]) -> DataFrame:
+    """``(community_id, summary, top)`` by a model that is given the members and edges of a community, asked where the
+    community is; where it fails the template stands in."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for members, edges in zip(pdf["members"], pdf["edges"]):
+                try:
+                    out.append(summarize(list(members), list(edges)))
+                except Exception:  # noqa: BLE001 - an index run must not fail with its summaries
+                    out.append(None)
+            yield pdf.assign(told=out)[["community_id", "told"]]
+
+    told = inputs.select("community_id", "members", "edges").mapInPandas(run, "community_id long, told string")
+    return summary_text(inputs).join(told, "community_id").select("community_id", F.coalesce("told", "summary").alias("summary"), "top")
+
+
 def summary_text(inputs: DataFrame) -> DataFrame:
     """``(community_id, summary, top)`` by a template, where no model writes one."""
     text = F.concat_ws("; ", F.array_join("members", ", "), F.array_join("edges", ", "))

@@ -99,7 +99,8 @@ def recovered(sources: DataFrame) -> DataFrame:
     return sources.withColumn("state", F.when(F.col("state").isin("merged", "deleted", "disabled"), F.col("state")).otherwise("pending"))
 
 
-def quarantine(extracted: DataFrame) -> DataFrame:
-    """``(chunk_id, error_code, detail, resolved)`` of the answers that failed."""
+def quarantined(extracted: DataFrame) -> DataFrame:
+    """``(path, ordinal, raw_output, error_code, detail)`` of the answers that failed; one that is merely empty didn't."""
     code = F.coalesce("error", F.when(F.col("outcome") == "PARSE_FAILED", "PARSE_FAILED"))
-    return extracted.withColumn("error_code", code).where("error_code IS NOT NULL").select("chunk_id", "error_code", F.substring("raw", 1, 500).alias("detail"), F.lit(False).alias("resolved"))
+    detail = F.when(F.col("dropped") > 0, F.concat(F.col("dropped").cast("string"), F.lit(" items didn't hold"))).otherwise(F.col("error"))
+    return extracted.withColumn("error_code", code).where("error_code IS NOT NULL").select("path", "ordinal", F.col("raw").alias("raw_output"), "error_code", detail.alias("detail"))

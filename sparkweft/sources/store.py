@@ -4,25 +4,26 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweft.functions.vocabulary import EngineError
+from sparkweft.sources.files import LocalFiles, SharedFiles
 
 SCHEMAS = {
     "sources": "root string, path string, abs_path string, content_hash string, size_bytes long, mtime_ms long, state string, error string",
     "chunks": "path string, ordinal int, start_line int, end_line int, start_col int, end_col int, text string, token_est int",
-    "answers": "path string, ordinal int, part int, raw string, calls int, error string",
-    "reviews": "relation_key string, verdict string, corrected boolean, confidence double, excluded boolean",
-    "corrections": "relation_key string, s string, r string, o string",
-    "runs": "started_at timestamp, finished_at timestamp, status string, files int, calls long",
+    "answers": "path string, ordinal int, part int, raw string, calls int, error string, read_at timestamp",
+    "reviews": "relation_key string, verdict string, corrected boolean, confidence double, excluded boolean, at timestamp",
+    "corrections": "relation_key string, s string, r string, o string, at timestamp",
+    "forgotten": "norm_name string, at timestamp",
+    "quarantine": "id long, path string, ordinal int, raw_input string, raw_output string, error_code string, detail string, created_at timestamp, resolved boolean",
+    "runs": "id string, started_at timestamp, finished_at timestamp, status string, phase string, files int, calls long, tokens_in long, tokens_out long",
 }
 
 
@@ -42,41 +43,42 @@ def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
 
 
 class TableStore:
-    """Tables as folders of a version; a new version becomes current by an atomic rename of the pointer to it."""
+    """Tables as folders of a version; new versions become current by replacing the pointer to them. The version before
+    stays, so what was read before a commit can be computed after it."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
+        self.spark, self.folder, self.keep, self.files = spark, str(folder).rstrip("/"), keep, SharedFiles(spark)
+        self.files.make(self.folder)
 
-    def _current(self) -> dict[str, str]:
-        pointer = self.folder / "current.json"
-        return json.loads(pointer.read_text()) if pointer.exists() else {}
+    def _versions(self) -> dict[str, list[str]]:
+        pointer = f"{self.folder}/current.json"
+        return json.loads(self.files.read(pointer)) if self.files.exists(pointer) else {}
 
     def read(self, table: str) -> DataFrame:
-        at = self._current().get(table)
-        if at is None:
-            if table not in SCHEMAS:
-                raise EngineError("NOT_INDEXED", table)
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.parquet(at)
+        versions = self._versions().get(table)
+        if versions:
+            return self.spark.read.parquet(f"{self.folder}/{versions[0]}")
+        if table not in SCHEMAS:
+            raise EngineError("NOT_INDEXED", table)
+        return self.spark.createDataFrame([], SCHEMAS[table])
 
     def has(self, table: str) -> bool:
-        return table in self._current()
+        return table in self._versions()
 
     def commit(self, **tables: DataFrame) -> None:
-        """Write the tables, then switch to all of them at once; what was current stays readable until the next commit."""
-        current, version = self._current(), uuid.uuid4().hex[:12]
-        for name, df in tables.items():
-            path = str(self.folder / f"{name}-{version}")
-            df.write.parquet(path)
-            current[name] = path
-        draft = self.folder / f".current-{version}"
-        draft.write_text(json.dumps(current))
-        before = {p.name for p in self.folder.iterdir() if p.is_dir()}
-        os.replace(draft, self.folder / "current.json")
-        kept = {Path(p).name for p in current.values()}
-        for name in before - kept:
-            shutil.rmtree(self.folder / name, ignore_errors=True)
+        """Write the tables, then switch to all of them at once. Of each table ``keep`` versions stay."""
+        versions, name = self._versions(), uuid.uuid4().hex[:12]
+        for table, df in tables.items():
+            df.write.parquet(f"{self.folder}/{table}-{name}")
+            versions[table] = [f"{table}-{name}", *versions.get(table, [])][: self.keep]
+        draft = f"{self.folder}/draft-{name}.json"
+        self.files.write(draft, json.dumps(versions))
+        before = self.files.folders(self.folder)
+        self.files.replace(draft, f"{self.folder}/current.json")
+        kept = {v for of in versions.values() for v in of}
+        for folder in before:
+            if folder not in kept:
+                self.files.delete(f"{self.folder}/{folder}")
 
 
 @dataclass
@@ -91,21 +93,22 @@ class KnowledgeBase:
 class Registry:
     """The knowledge bases under one folder; names are unique without regard to case, blanks and punctuation."""
 
-    def __init__(self, folder: str):
-        self.folder, self.file = Path(folder), Path(folder) / "kbs.json"
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, folder: str, files: LocalFiles | SharedFiles | None = None):
+        self.folder, self.files = str(folder).rstrip("/"), files or LocalFiles()
+        self.file = f"{self.folder}/kbs.json"
+        self.files.make(self.folder)
 
     @staticmethod
     def _key(name: str) -> str:
         return "".join(c for c in name.lower() if not c.isspace() and c not in "`*_-./\\()[]{}<>\"'!?,;:")
 
     def list(self) -> list[KnowledgeBase]:
-        return [KnowledgeBase(**k) for k in json.loads(self.file.read_text())] if self.file.exists() else []
+        return [KnowledgeBase(**k) for k in json.loads(self.files.read(self.file))] if self.files.exists(self.file) else []
 
     def save(self, kbs: list[KnowledgeBase]) -> None:
-        draft = self.folder / f".kbs-{uuid.uuid4().hex}"
-        draft.write_text(json.dumps([asdict(k) for k in kbs], ensure_ascii=False))
-        os.replace(draft, self.file)
+        draft = f"{self.folder}/draft-{uuid.uuid4().hex}.json"
+        self.files.write(draft, json.dumps([asdict(k) for k in kbs], ensure_ascii=False))
+        self.files.replace(draft, self.file)
 
     def create(self, name: str, roots: list[str], description: str | None = None) -> KnowledgeBase:
         kbs = self.list()
@@ -132,7 +135,7 @@ class Registry:
 
     def delete(self, kb_id: str) -> None:
         self.save([k for k in self.list() if k.id != kb_id])
-        shutil.rmtree(self.folder / "kbs" / kb_id, ignore_errors=True)
+        self.files.delete(f"{self.folder}/kbs/{kb_id}")
 
     def resolve(self, ref: str | None = None, cwd: str | None = None) -> KnowledgeBase:
         """By id, then by name, then the only one that holds the working folder, then the only one there is."""

@@ -59,10 +59,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Removes the folders that ``written`` made in this process, once nothing that reads them is run any more."""
+def written_so_far() -> int:
+    """How many folders ``written`` has made and ``clear_written`` hasn't removed."""
+    return len(_WRITTEN)
+
+
+def clear_written(spark: SparkSession, since: int = 0) -> int:
+    """Removes the folders that ``written`` made in this process after the first ``since``, once nothing that reads them is
+    run any more."""
     jvm, n = spark._jvm, 0
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
