@@ -81,7 +81,7 @@ def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damp
         moved = rank.join(step, rank["id"] == step["node"]).select("qid", F.col("other").alias("id"), (damping * F.col("score") * F.col("p")).alias("score"))
         back = jump.select("qid", "id", ((1 - damping) * F.col("jump")).alias("score"))
         rank = moved.unionByName(back).groupBy("qid", "id").agg(F.sum("score").alias("score"))
-        if k % 2 == 0 or k == iterations:
+        if k % 4 == 0 or k == iterations:
             rank = checkpointed(rank)
     idle = checkpointed(jump.select("qid").distinct().join(idle, "qid", "left").select("qid", F.coalesce("idle", F.lit(0.0)).alias("idle")))
     even = None

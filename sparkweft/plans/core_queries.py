@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkweft.functions import text, vocabulary
 from sparkweft.operators import chunking, extraction, governance, graph, lexical, merge, metrics, retrieval, scan, snapshots
 from sparkweft.sources.tables import once_per_key, read_table
+from sparkweft.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1073,3 +1074,11 @@ def _(spark, d):
 @query("metric_percentile", f"SELECT type, list_sort(list(weight))[least(len(list(weight)), floor(0.5 * len(list(weight)))::INTEGER + 1)] AS p50, list_sort(list(weight))[least(len(list(weight)), floor(0.95 * len(list(weight)))::INTEGER + 1)] AS p95 FROM {RELATION} GROUP BY type")
 def _(spark, d):
     return metrics.percentiles(_relations(spark, d), "type", "weight", {"p50": 50, "p95": 95})
+
+
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return ingest.event_counts(read_table(spark, d, "events", ["ts", "event_type"]))
