@@ -131,7 +131,7 @@ def _mixed(value: str) -> bool:
 
 def _written_out(value: str, quoted: bool) -> bool:
     """Whether the value of a password-like name is the password itself rather than a word for it, a type or a variable."""
-    if len(value) < 4 or _holds_place(value) or value.isdigit() and len(value) < 6 or re.fullmatch(r"(?:~|\.{0,2})(?:/[\w.-]+){2,}", value):
+    if len(value) < 4 or _holds_place(value) or value.isdigit() and len(value) < 6 or re.fullmatch(r"(?:~|\.{0,2})(?:/[\w.-]+){2,}", value) and not _random_looking(value):
         return False
     if quoted:
         return not re.search(r"\s\S+\s", value) or _pass_phrase(value)

@@ -83,6 +83,11 @@ def test_shell_words_pass_phrases_and_blocks():
     assert C.redact('"token": "AKIA' + 'ABCDEFGHIJKLMNOP"\n  "x-api-key": 1') == '"token": "REDACTED"\n  "x-api-key": 1'
 
 
+def test_random_values_that_look_like_paths():
+    value = "/P0rWsecHLPb94Oj" + "JdVcZW/A6CmkbbLF8iCXUytZ"
+    assert C.redact(f"aws_secret = '{value}'") == "aws_secret = 'REDACTED'" and C.find_secrets("db_password = '/run/secrets/db2'") == []
+
+
 @pytest.mark.parametrize("text", ["// root pass emJ7XdN0xOZX", "login for staging: kong-nend-trigger18", "machine h login me password fyiwJW6zzTBG", "Server=x;Uid=u;Pwd=RYkoyLsz9LGL;", "smtp.password=nenR8cakVhpI"])
 def test_notes_and_formats_whose_values_are_literal(text):
     assert len(C.find_secrets(text)) == 1
