@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blanks as the engine's texts mean them: also no-break, ideographic and zero-width no-break space. Java's \\s has ASCII only.
+#: Blanks as the engine's texts mean them: also no-break, ideographic and zero-width no-break space. Java's \\s has ASCII only.
 BLANKS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"\u3400-\u9fff\uf900-\ufaff\u3040-\u30ff"
 
@@ -15,9 +15,13 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
+#: Fixed value: the blanks and signs that the key of a name is without.
+_NO_KEY = rf"[{BLANKS}`*_\-./\\()\[\]{{}}<>\"'!?,;:]+"
+
+
 def norm_name(name: Column) -> Column:
     """The key under which spellings of a name meet: lower case, without blanks and ASCII punctuation."""
-    return F.regexp_replace(F.lower(trimmed(name)), rf"[{BLANKS}`*_\-./\\()\[\]{{}}<>\"'!?,;:]+", "")
+    return F.regexp_replace(F.lower(trimmed(name)), _NO_KEY, "")
 
 
 def estimate_tokens(text: Column, han: str = CJK) -> Column:
