@@ -78,8 +78,12 @@ def _est(x: str, han: str = H_) -> str:
     return f"ceil(length({x}) - length(regexp_replace({x}, '[{B_}{han}]', '', 'g')) - length(regexp_replace({x}, '[^{B_}]', '', 'g')) + length(regexp_replace({x}, '[{B_}{han}]', '', 'g')) / 3.5)::INTEGER"
 
 
+def _all_terms(x: str) -> str:
+    return rf"flatten([CASE WHEN regexp_matches(w, '[{H_}]') THEN [substr(w, i::BIGINT, 3) FOR i IN range(1, length(w) - 1)] ELSE [lower(w)] END FOR w IN regexp_split_to_array({x}, '[{B_}\p{{P}}\p{{S}}]+') IF length(w) >= 3])"
+
+
 def _terms(x: str) -> str:
-    return rf"list_distinct(flatten([CASE WHEN regexp_matches(w, '[{H_}]') THEN [substr(w, i::BIGINT, 3) FOR i IN range(1, length(w) - 1)] ELSE [lower(w)] END FOR w IN regexp_split_to_array({x}, '[{B_}\p{{P}}\p{{S}}]+') IF length(w) >= 3]))"
+    return f"list_distinct({_all_terms(x)})"
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
@@ -130,9 +134,9 @@ def _(spark, d):
     return _chunks(spark, d, "id", "text").where("text IS NOT NULL").select("id", text.estimate_tokens(t).alias("tokens"), text.estimate_tokens(t, r"㐀-鿿぀-ヿ").alias("cost_tokens"))
 
 
-@query("extract_terms", f"SELECT id, array_to_string(list_sort({_terms('name')}), ' ') AS terms FROM {ENTITY}")
+@query("extract_terms", f"SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM (SELECT id, {_all_terms('name')} AS l FROM {ENTITY})")
 def _(spark, d):
-    return _entities(spark, d).select("id", F.array_join(F.array_sort(text.extract_terms(F.col("name"))), " ").alias("terms"))
+    return _entities(spark, d).select("id", F.array_join(text.extract_terms(F.col("name")), " ").alias("terms"))
 
 
 @query("slugify", rf"SELECT id, CASE WHEN s = '' THEN 'kb' ELSE substr(s, 1, 40) END AS slug FROM (SELECT id, regexp_replace(regexp_replace(lower(regexp_replace(name, '^[{B_}]+|[{B_}]+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM {ENTITY})")
@@ -176,6 +180,14 @@ def _(spark, d):
     return _sources(spark, d).select("path", scan.is_excluded(F.col("path")).alias("excluded"))
 
 
+@query(
+    "exclude_patterns",
+    f"""SELECT path, len([s FOR s IN string_split(path, '/') IF s LIKE '.%' OR s = 'node_modules' OR s LIKE '%.pem' OR s LIKE '%secret%' OR s LIKE '%credential%' OR s LIKE '%.md' OR s LIKE 'p%s' OR s = 'web']) > 0 AS excluded FROM {SOURCE}""",
+)
+def _(spark, d):
+    return _sources(spark, d).select("path", scan.is_excluded(F.col("path"), ["*.md", "p*s", "web"]).alias("excluded"))
+
+
 @query(
     "route_by_content",
     rf"""SELECT d.doc_id, CASE WHEN e IN ('.png', '.jpg', '.jpeg', '.webp', '.gif') THEN 'image' WHEN e IN ('.docx', '.pptx', '.xlsx', '.pdf') THEN 'document'
