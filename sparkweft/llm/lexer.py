@@ -21,9 +21,9 @@ class Token(NamedTuple):
 _SCAN = re.compile(
     r"""(?P<blank>(?:[^\S\n]|\\\r?\n)+)
 |(?P<line>\n)
-|(?P<long>(?<!\w)[A-Za-z]{0,2}(?P<three>\"{3}|'{3})(?P<body>(?:\\[\s\S]|(?!(?P=three))[\s\S])*)(?P=three))
+|(?P<long>(?<!\w)[A-Za-z]{0,2}(?P<three>\"{3}|'{3})(?P<body>(?:[^\\"']++|\\[\s\S]|(?!(?P=three))["'])*+)(?P=three))
 |(?P<raw>(?<!\w)(?:[ubLU8]{0,2}R"(?P<fence>[^()\\\s]{0,16})\((?P<cooked>[\s\S]*?)\)(?P=fence)"|b?r(?P<hash>\#+)"(?P<plain>[\s\S]*?)"(?P=hash)))
-|(?P<string>(?<!\w)[A-Za-z]{0,2}(?:(?P<q>["'])(?P<one>(?:\\(?:\r\n|[\s\S])|(?!(?P=q))[^\\\n])*)(?P=q)|`(?P<tick>(?:\\[\s\S]|[^`\\])*)`)|(?<=[\w])(?:"(?P<tight>(?:\\.|[^"\\\n])*)"|`(?P<tight2>(?:\\.|[^`\\\n])*)`))
+|(?P<string>(?<!\w)[A-Za-z]{0,2}(?:(?P<q>["'])(?P<one>(?:[^\\\n"']++|\\(?:\r\n|[\s\S])|(?!(?P=q))["'])*+)(?P=q)|`(?P<tick>(?:\\[\s\S]|[^`\\]++)*+)`)|(?<=[\w])(?:"(?P<tight>(?:\\.|[^"\\\n]++)*+)"|`(?P<tight2>(?:\\.|[^`\\\n]++)*+)`))
 |(?P<tag></?[A-Za-z][\w:.-]*(?:\s[^<>\n]*)?>)
 |(?P<word>[^\W\d](?:(?![是为]\s)[\w$])*(?:-(?=[^\W_])[\w$]+)*)
 |(?P<number>\d[\w.]*)

@@ -88,6 +88,13 @@ def test_random_values_that_look_like_paths():
     assert C.redact(f"aws_secret = '{value}'") == "aws_secret = 'REDACTED'" and C.find_secrets("db_password = '/run/secrets/db2'") == []
 
 
+def test_very_long_strings():
+    for quote in ('"', "'", '"""', "`"):
+        body = "a\\n b" * 300_000
+        assert C.redact(f"x = {quote}{body}{quote}; password = 'Xk29-qLm!'") == f"x = {quote}{body}{quote}; password = 'REDACTED'"
+    assert C.find_secrets("password = " + "'x" * 100_000) == [] and C.find_secrets("token " + "`'\"" * 50_000) == []
+
+
 @pytest.mark.parametrize("text", ["// root pass emJ7XdN0xOZX", "login for staging: kong-nend-trigger18", "machine h login me password fyiwJW6zzTBG", "Server=x;Uid=u;Pwd=RYkoyLsz9LGL;", "smtp.password=nenR8cakVhpI"])
 def test_notes_and_formats_whose_values_are_literal(text):
     assert len(C.find_secrets(text)) == 1
