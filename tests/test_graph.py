@@ -137,3 +137,18 @@ def test_community_table_and_changes(spark):
     table = graph.community_table(labels)
     assert ("8a6ae15122001229", 3) in [(r.fingerprint, r.member_count) for r in table.collect()]
     assert graph.changed_communities(table, table.where("label = 1")).select("label").collect()[0][0] == 4
+
+
+def test_edges_within_groups_with_a_hub(spark):
+    import random
+
+    from sparkweft.operators.merge import inner_edges, relation_evidence
+
+    draw = random.Random(5)
+    seen = {(c, 0) for c in range(120)} | {(draw.randrange(120), e) for e in range(1, 60) for _ in range(draw.randrange(4))}
+    edges = [(n, 0, e) for n, e in enumerate(range(1, 60))] + [(100, 0, 0), (101, 3, 4), (102, 4, 3), (103, 5, 999)]
+    mentions = spark.createDataFrame([(c, e) for c, e in sorted(seen)] * 2, "chunk_id long, entity_id long")
+    relations = spark.createDataFrame(edges, "id long, src_id long, dst_id long")
+    want = sorted((n, c) for n, s, o in edges for c in range(120) if (c, s) in seen and (c, o) in seen)
+    assert sorted(map(tuple, relation_evidence(relations, mentions).collect())) == want
+    assert inner_edges(relations.limit(0), mentions.withColumnRenamed("entity_id", "member"), "chunk_id").count() == 0
