@@ -38,13 +38,30 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = {"threshold": 0.7, "shingle": 3, "least_words": 20}
 
 
-@query("p2_found")
+_SIMILAR = r"""c AS (SELECT id, max(text) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id),
+    w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+    s AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    k AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+    p AS MATERIALIZED (SELECT a, b, k = x.n AND k = y.n AS same FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.7 * (x.n + y.n - k))"""
+
+
+@query("p2_found", f"WITH {_SIMILAR} SELECT a AS chunk_id_a, b AS chunk_id_b FROM p")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = neardup.similar_classes(read_table(spark, d, "chunks", ["id", "text"], spread=True), **_NEAR)
     return neardup.similar_pairs(pairs, members, expand=None).toDF("chunk_id_a", "chunk_id_b")
 
 
-@query("p2_groups")
+@query(
+    "p2_groups",
+    f"""WITH RECURSIVE {_SIMILAR}, q AS MATERIALIZED (SELECT c.id, coalesce(min(a), c.id) AS class FROM c LEFT JOIN p ON p.b = c.id AND p.same GROUP BY c.id),
+    m AS (SELECT class, count(*) AS copies FROM q GROUP BY class),
+    e AS MATERIALIZED (SELECT DISTINCT x.class AS a, y.class AS b FROM p JOIN q x ON x.id = p.a JOIN q y ON y.id = p.b WHERE x.class <> y.class UNION SELECT DISTINCT y.class, x.class FROM p JOIN q x ON x.id = p.a JOIN q y ON y.id = p.b WHERE x.class <> y.class),
+    l AS (SELECT a AS class, count(*) AS links FROM e GROUP BY a),
+    r AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+    g AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+    SELECT q.id AS chunk_id, coalesce(root, q.class) AS group_id, copies, coalesce(links, 0) AS links FROM q JOIN m ON m.class = q.class LEFT JOIN l ON l.class = q.class LEFT JOIN g ON g.id = q.class""",
+)
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(read_table(spark, d, "chunks", ["id", "text"], spread=True), **_NEAR).withColumnRenamed("id", "chunk_id")
 
