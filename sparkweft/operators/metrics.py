@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweft.operators.lexical import names_in_texts
+from sparkweft.sources.tables import checkpointed
 
 
 def percentile(values: Column, p: float) -> Column:
@@ -45,7 +46,7 @@ def entity_hit(found: DataFrame, golden: DataFrame) -> DataFrame:
 def relation_recall(found: DataFrame, golden: DataFrame) -> DataFrame:
     """``(qid, relation_recall)``: the share of golden pairs ``(qid, s, o)`` whose ends occur in one text."""
     pairs = golden.select("qid", F.lower("s").alias("s"), F.lower("o").alias("o"), F.col("s").alias("_s"), F.col("o").alias("_o"))
-    met = _met(found, pairs.select("qid", F.explode(F.array("s", "o")).alias("name"))).distinct()
+    met = checkpointed(_met(found, pairs.select("qid", F.explode(F.array("s", "o")).alias("name"))).distinct())  # read four times
     often = met.groupBy("qid", "name").agg(F.count("*").alias("n"))
     rows = pairs.join(often.toDF("qid", "s", "_ns"), ["qid", "s"]).join(often.toDF("qid", "o", "_no"), ["qid", "o"])
     rare = F.col("_ns") <= F.col("_no")  # from the rarer end, as a frequent one is in nearly every text
