@@ -176,6 +176,6 @@ def assign_precomputed(chunks: DataFrame, entities: DataFrame, relations: DataFr
     met = written(names_in_texts(texts, names), "names").withColumnsRenamed({"grp": "source_id", "id": "chunk_id"})
     found = met.join(entities.select("source_id", "name").distinct(), ["source_id", "name"], "left_semi").select("chunk_id", "name")
     order = chunks.select(F.col("id").alias("chunk_id"), "ordinal").distinct()
-    at = met.join(ends, ["source_id", "name"]).select("source_id", "rel_id", "chunk_id").distinct().join(order, "chunk_id")
-    first = at.groupBy("source_id", "rel_id").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("chunk_id"))
+    at = met.join(order, "chunk_id").groupBy("source_id", "name").agg(F.min(F.struct("ordinal", "chunk_id")).alias("at"))
+    first = at.join(ends, ["source_id", "name"]).groupBy("source_id", "rel_id").agg(F.min("at")["chunk_id"].alias("chunk_id"))  # of either end's first
     return found, first.select("chunk_id", "rel_id")

@@ -1,6 +1,7 @@
 import json
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from sparkweft.functions.vocabulary import EngineError
 from sparkweft.operators import extraction, merge
@@ -97,3 +98,29 @@ def test_items_of_images_go_to_the_chunks_that_name_them(spark):
     told = spark.createDataFrame([(7, 70, "Disk", "None"), (7, 71, "Disk", "Cache"), (8, 72, "x", "y")], "source_id long, rel_id long, s string, o string")
     found, first = extraction.assign_precomputed(chunks, names, told)
     assert rows(found) == [(1, "Cache"), (2, "Cache"), (2, "Disk")] and rows(first) == [(1, 71), (2, 70)]
+
+
+def test_precomputed_relations_of_a_hub_arent_joined_with_all_its_texts(spark):
+    """300 texts of a source hold an end that 300 relations share: the join has a row per relation and end, not 90 000."""
+    chunks = spark.range(300).select("id", F.lit(7).cast("long").alias("source_id"), (300 - F.col("id")).cast("int").alias("ordinal"), F.concat(F.lit("Hub and e"), "id", F.lit("x")).alias("text"))
+    names = spark.createDataFrame([(7, "Hub")], "source_id long, name string")
+    told = spark.range(300).select(F.lit(7).cast("long").alias("source_id"), F.col("id").alias("rel_id"), F.lit("Hub").alias("s"), F.concat(F.lit("e"), "id", F.lit("x")).alias("o"))
+    _, first = extraction.assign_precomputed(chunks, names, told)
+    assert rows(first) == sorted(((299, r) for r in range(300)), key=repr)
+    assert most_joined(first) <= 1000
+
+
+def most_joined(df):
+    """The most rows that a join of the plan gives, as it was run."""
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from walk(node.executedPlan())
+        elif "QueryStage" in node.nodeName() or node.nodeName().endswith("QueryStage"):
+            yield from walk(node.plan())
+        if "Join" in node.nodeName():
+            yield node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        for n in range(children.size()):
+            yield from walk(children.apply(n))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
