@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,13 +43,13 @@ def fuse(scores: DataFrame, seeds: DataFrame, top: int = 25) -> DataFrame:
     return rows.withColumn("fused", fused).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("qid", "id", F.col("fused").alias("score"), "rank")
 
 
-def _even_share(step: DataFrame, nodes: DataFrame, damping: float, iterations: int) -> tuple[DataFrame, int]:
+def _even_share(step: DataFrame, linked: DataFrame, nodes: DataFrame, damping: float, iterations: int) -> tuple[DataFrame, int]:
     """``(id, even)`` of all nodes: the score that a walk adds to each for a unit of seed weight on nodes without edges.
 
     What such nodes lose is spread over all nodes alike and then flows on, the same way for every question, so it is
     walked once. What they hold themselves follows a recurrence, as nothing flows to them but their even part.
     """
-    linked = step.select(F.col("node").alias("id")).distinct().withColumn("linked", F.lit(True))
+    linked = linked.withColumn("linked", F.lit(True))
     flow = checkpointed(nodes.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked")))
     n, idle = flow.agg(F.count("*"), F.count_if(~F.col("linked"))).first()
     lost = [1.0]
@@ -62,19 +64,15 @@ def _even_share(step: DataFrame, nodes: DataFrame, damping: float, iterations: i
     return flow.select("id", "even"), n
 
 
-def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, keep: int = 25) -> DataFrame:
-    """``(qid, id, score)``: walks for many questions at once, exact. Nodes that a question's walk has reached have a row, and
-    so have the first ``keep`` of the others; the rest score no more than these.
+def _walks_by_rows(step: DataFrame, linked: DataFrame, nodes: DataFrame, jump: DataFrame, damping: float, iterations: int, keep: int) -> DataFrame:
+    """``(qid, id, score)`` with a row for each node that a question's walk has reached and the first ``keep`` of the others.
 
     The even part that nodes without edges give to all nodes is worked out once and added in proportion to the seed
     weight on such nodes, so questions never have a row for every node.
     """
-    edges = graph.undirected(relations)
-    total = edges.groupBy("node").agg(F.sum("weight").alias("total"))
-    step = checkpointed(edges.join(total, "node").where("total > 0").select("node", "other", (F.col("weight") / F.col("total")).alias("p")))
-    mass = seeds.groupBy("qid").agg(F.sum("weight").alias("mass"))
-    jump = checkpointed(seeds.join(mass, "qid").select("qid", "id", (F.col("weight") / F.col("mass")).alias("jump")))
-    linked = step.select(F.col("node").alias("id")).distinct()
+    ids = nodes.select("id").distinct()
+    step = checkpointed(step.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").join(ids.withColumnRenamed("id", "other"), "other", "left_semi"))
+    jump = checkpointed(jump.join(ids, "id", "left_semi").select("qid", "id", "jump"))
     idle = jump.join(linked, "id", "left_anti").groupBy("qid").agg(F.sum("jump").alias("idle"))
     rank = jump.select("qid", "id", F.col("jump").alias("score"))
     for k in range(1, iterations + 1):
@@ -86,9 +84,8 @@ def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damp
     idle = checkpointed(jump.select("qid").distinct().join(idle, "qid", "left").select("qid", F.coalesce("idle", F.lit(0.0)).alias("idle")))
     even = None
     if not idle.where("idle > 0").isEmpty():
-        even = checkpointed(_even_share(step, nodes, damping, iterations)[0])
+        even = checkpointed(_even_share(step, linked, nodes, damping, iterations)[0])
     # no node that a walk hasn't reached can come before the first ones by their even part, or by id where that is nothing
-    ids = nodes.select("id").distinct()
     firsts = [([r.id for r in ids.orderBy("id").limit(keep).collect()], "idle = 0")]
     if even is not None:
         firsts.append(([r.id for r in even.orderBy(F.desc(F.round("even", 12)), "id").limit(keep).collect()], "idle > 0"))
@@ -101,6 +98,125 @@ def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damp
     return rank.join(idle, "qid").join(even, "id").select("qid", "id", (F.col("score") + F.col("idle") * F.col("even")).alias("score"))
 
 
+class _Walks:
+    """Walks over a graph that a worker holds whole, for some questions at a time: a dense column of scores for each.
+
+    Nodes that edges touch are numbered by how many they have, so those with equally many follow one another and their
+    sums are one array operation. The others all have the same score but for what seeds give them.
+    """
+
+    def __init__(self, ids: np.ndarray, linked: np.ndarray, node: np.ndarray, other: np.ndarray, p: np.ndarray):
+        """ids, linked: all nodes, and those that edges touch; node, other, p: the steps, of which those to no node are lost."""
+        ids, linked = np.unique(ids), np.unique(linked)
+        linked = linked[np.isin(linked, ids)]
+        self.n, self.idle = len(ids), np.setdiff1d(ids, linked)
+        inside = np.isin(node, linked) & np.isin(other, linked)
+        node, other, p = np.searchsorted(linked, node[inside]), np.searchsorted(linked, other[inside]), p[inside]
+        often = np.bincount(other, minlength=len(linked))
+        by = np.argsort(often, kind="stable")
+        at = np.empty(len(linked), np.int64)
+        at[by] = np.arange(len(linked))
+        order = np.lexsort((node, at[other]))
+        self.ids, self.from_, self.p = linked[by], at[node[order]].astype(np.int32), p[order]
+        self.sizes, self.first = np.unique(often[by], return_index=True)
+        self.by_id = np.argsort(self.ids)
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """Where linked nodes are in the numbering, -1 for others."""
+        at = np.minimum(np.searchsorted(self.ids, ids, sorter=self.by_id), max(len(self.ids) - 1, 0))
+        found = self.by_id[at] if len(self.ids) else np.zeros(len(ids), np.int64)
+        return np.where(self.ids[found] == ids, found, -1) if len(self.ids) else np.full(len(ids), -1)
+
+    def flow(self, x: np.ndarray) -> np.ndarray:
+        """What reaches each node in a step, from the scores of all."""
+        out, edge, width = np.zeros_like(x), 0, x.shape[1]
+        for k, a, b in zip(self.sizes.tolist(), self.first.tolist(), [*self.first[1:].tolist(), len(self.ids)]):
+            if not k:
+                continue
+            some = max(1, (1 << 18) // (k * width))
+            for lo in range(a, b, some):
+                hi = min(b, lo + some)
+                m = (hi - lo) * k
+                p, x_ = self.p[edge : edge + m], x[self.from_[edge : edge + m]]
+                out[lo:hi] = p @ x_ if hi - lo == 1 else np.einsum("mk,mkb->mb", p.reshape(-1, k), x_.reshape(-1, k, width))
+                edge += m
+        return out
+
+    def run(self, seeds: list[tuple[np.ndarray, np.ndarray]], damping: float, iterations: int, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each question, of which ``seeds`` has nodes and shares of weight: the nodes that may be wanted and their scores."""
+        jump, places, width = np.zeros((len(self.ids), len(seeds))), [], len(seeds)
+        for q, (ids, share) in enumerate(seeds):
+            known = np.isin(ids, self.idle) | (self.place(ids) >= 0)
+            ids, share = ids[known], share[known]
+            at = self.place(ids)
+            np.add.at(jump[:, q], at[at >= 0], share[at >= 0])
+            places.append((ids, share, at))
+        home = np.array([share[at < 0].sum() for _, share, at in places])  # what jumps to nodes without edges
+        x, even, lost = jump, np.zeros(width), home
+        for k in range(1, iterations + 1):
+            even = damping * lost / max(self.n, 1)  # for every node
+            x = damping * self.flow(x) + even + (1 - damping) * jump
+            lost = even * len(self.idle) + (1 - damping) * home
+        columns = np.ascontiguousarray(x.T)
+        for q, (ids, share, at) in enumerate(places):
+            own, score = at[at >= 0], columns[q]
+            apart = self.idle[: keep + len(ids)]
+            apart = apart[~np.isin(apart, ids)][:keep]
+            most = max(score.max(initial=0.0), even[q]) or 1.0
+            v = 0.5 * score / most
+            v[own] = -1.0
+            floor = np.partition(v, len(v) - keep)[len(v) - keep] if len(v) > keep else -1.0
+            near = np.flatnonzero(v >= max(floor - 3e-9, -0.5))
+            near = near[lexical.first_rows(np.zeros(len(near), int), v[near], self.ids[near], keep)] if len(near) > keep else near
+            idle = at < 0
+            yield np.r_[ids, self.ids[near], apart], np.r_[np.where(idle, even[q] + (1 - damping) * share if iterations else share, score[at] if len(score) else 0.0), score[near], np.full(len(apart), even[q])]
+
+
+#: Up to so many edges and nodes every worker holds the graph (some 30 bytes each) and cells of scores at a time (8 bytes
+#: each, a few times over); beyond, walks go by rows.
+_HELD, _CELLS = 8_000_000, 2_000_000
+
+
+def _walks_held(spark: SparkSession, step: DataFrame, linked: DataFrame, nodes: DataFrame, jump: DataFrame, damping: float, iterations: int, keep: int) -> DataFrame:
+    """``(qid, id, score)`` of the seeds of each question and of the nodes that may be among the first ``keep`` of the others."""
+    steps, column = step.toArrow(), lambda df: df.toArrow().column(0).to_numpy()
+    walks = _Walks(column(nodes.select("id").distinct()), column(linked), *(steps.column(c).to_numpy() for c in ("node", "other", "p")))
+    sent = spark.sparkContext.broadcast(walks)
+    width = int(min(64, max(4, _CELLS // max(len(walks.ids), 1))))
+    kinds = dict(jump.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), width):
+                some = pdf.iloc[lo : lo + width]
+                for qid, (ids, scores) in zip(some["qid"], sent.value.run(list(zip(some["ids"], some["shares"])), damping, iterations, keep)):
+                    yield pd.DataFrame({"qid": qid, "id": ids, "score": scores})
+
+    listed = jump.groupBy("qid").agg(F.collect_list(F.struct("id", "jump")).alias("s")).select("qid", F.col("s.id").alias("ids"), F.col("s.jump").alias("shares"))  # seeds of one question
+    rows = checkpointed(listed.repartition(2 * spark.sparkContext.defaultParallelism, "qid").mapInPandas(run, f"qid {kinds['qid']}, id long, score double"))
+    sent.unpersist()
+    return rows
+
+
+def pagerank_many(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, keep: int = 25) -> DataFrame:
+    """``(qid, id, score)``: walks for many questions at once, exact. The seeds of a question have a row, and so have the
+    nodes that may be among the first ``keep`` of the others; the rest score no more than these. What flows to an id that
+    is no node is lost.
+
+    The work is that of a walk over the whole graph for each question, but what is kept follows the questions only. Graphs
+    of more than 8 million edges and nodes are walked by rows, which may be as many as questions times nodes.
+    """
+    edges = graph.undirected(relations)
+    total = edges.groupBy("node").agg(F.sum("weight").alias("total"))
+    step = checkpointed(edges.join(total, "node").where("total > 0").select("node", "other", (F.col("weight") / F.col("total")).alias("p")))
+    mass = seeds.groupBy("qid").agg(F.sum("weight").alias("mass"))
+    jump = checkpointed(seeds.join(mass, "qid").select("qid", "id", (F.col("weight") / F.col("mass")).alias("jump")))
+    linked = step.select(F.col("node").alias("id")).distinct()
+    if step.count() + nodes.count() <= _HELD:
+        return _walks_held(nodes.sparkSession, step, linked, nodes, jump, damping, iterations, keep)
+    return _walks_by_rows(step, linked, nodes, jump, damping, iterations, keep)
+
+
 def entity_texts(entities: DataFrame) -> DataFrame:
     """``(id, text, shown)``: what names an entity in a search: its name and aliases, if the table has them."""
     text = F.coalesce("search_text", "name") if "search_text" in entities.columns else F.col("name")

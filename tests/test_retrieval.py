@@ -193,3 +193,30 @@ def test_relation_recall_meets_names_once(spark):
     got = metrics.relation_recall(found, gold)
     assert rows(got) == [(1, 0.5), (2, 1.0), (3, 0.0)]
     assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_keeps_the_best_of_each_part_only(spark):
+    """400 texts in 4 parts, of which half tie: 2 rows of each part and question are left to be compared, not 400."""
+    texts = spark.range(1, 401, numPartitions=4).select("id", F.concat(F.lit("cache "), F.when(F.col("id") % 2 == 0, "cache ").otherwise("other ")).alias("text"), F.lit(True).alias("shown"))
+    asked = questions(spark, "cache", "other cache")
+    got = lexical.bm25(texts, asked, 2)
+    assert rows(got.select("qid", "rank", "id")) == [(0, 1, 2), (0, 2, 4), (1, 1, 1), (1, 2, 3)]
+    plan = got._jdf.queryExecution()
+    counted = lexical._counted(texts.withColumn("d", F.length("text").cast("long") - 2), ["cache", "other"])
+    left = lexical._best(counted, [(0, "cache"), (1, "cache"), (1, "other")], {"cache": 400, "other": 200}, 400, 10.0, 2, "long")
+    assert left.count() == 16 and "Join" not in plan.executedPlan().toString()
+    assert rows(lexical.bm25(texts, asked, 2, block=1)) == rows(got)
+
+
+def test_walks_leave_a_row_for_what_may_be_wanted_only(spark, monkeypatch):
+    """50 walks over 300 linked nodes: their seeds and the first 5, not all that they reach; the same as by rows."""
+    edges = [(n, 1 + n * 7 % 300, 1 + n * 11 % 299, "uses", 1 + n % 4, 1.0) for n in range(900)] + [(900, 3, 999, "uses", 2, 1.0)]
+    relations = spark.createDataFrame(edges, "id long, src_id long, dst_id long, type string, weight long, confidence double")
+    nodes = spark.range(1, 330)
+    seeds = spark.createDataFrame([(q, i, w) for q in range(50) for i, w in ((1 + q, 2.0), (1 + q * 5 % 320, 1.0), (320, 0.5))], "qid long, id long, weight double").dropDuplicates(["qid", "id"])
+    held = retrieval.pagerank_many(nodes, relations, seeds, keep=5)
+    assert held.count() <= 50 * (3 + 5 + 5)
+    monkeypatch.setattr(retrieval, "_HELD", 0)
+    walked = retrieval.pagerank_many(nodes, relations, seeds, keep=5)
+    best = lambda found: [(r.qid, r.id, round(r.score, 9), r.rank) for r in retrieval.fuse(found.join(nodes, "id"), seeds, 5).orderBy("qid", "rank").collect()]
+    assert len(best(held)) == 250 and [r[:2] for r in best(held)] == [r[:2] for r in best(walked)]
