@@ -155,7 +155,10 @@ class _Walks:
         x, even, lost = jump, np.zeros(width), home
         for k in range(1, iterations + 1):
             even = damping * lost / max(self.n, 1)  # for every node
-            x = damping * self.flow(x) + even + (1 - damping) * jump
+            x = self.flow(x)
+            x *= damping
+            x += even
+            x += (1 - damping) * jump
             lost = even * len(self.idle) + (1 - damping) * home
         columns = np.ascontiguousarray(x.T)
         for q, (ids, share, at) in enumerate(places):
@@ -174,7 +177,7 @@ class _Walks:
 
 #: Up to so many edges and nodes every worker holds the graph (some 30 bytes each) and cells of scores at a time (8 bytes
 #: each, a few times over); beyond, walks go by rows.
-_HELD, _CELLS = 8_000_000, 2_000_000
+_HELD, _CELLS = 8_000_000, 4_000_000
 
 
 def _walks_held(spark: SparkSession, step: DataFrame, linked: DataFrame, nodes: DataFrame, jump: DataFrame, damping: float, iterations: int, keep: int) -> DataFrame:
@@ -234,7 +237,7 @@ def local_search(tables: dict[str, DataFrame], questions: DataFrame, seed_limit:
     chunk_limit = min(max(chunk_limit, 3), 50)
     entities, mentions, relations = (graph.once(tables[t]) for t in ("entities", "mentions", "relations"))
     texts = graph.searchable_texts(tables["chunks"], tables["sources"])
-    shown = texts.where("shown").select("id", "text")
+    shown = checkpointed(texts.where("shown").select("id"))
     chunk_hits = checkpointed(lexical.bm25(texts, questions, max(8, chunk_limit)))
     entity_hits = lexical.bm25(entity_texts(entities), questions, seed_limit)
     seeds = checkpointed(build_seeds(entity_hits, chunk_hits.where("rank <= 8"), mentions, seed_limit))
@@ -242,8 +245,9 @@ def local_search(tables: dict[str, DataFrame], questions: DataFrame, seed_limit:
     among = graph.relations_among(relations, ranked, 40)
     near = ranked.select("qid", F.col("id").alias("entity_id"), "rank").join(graph.chunks_for_entities(mentions, shown, per_entity), "entity_id")
     first = checkpointed(near.groupBy("qid", "chunk_id").agg(F.min(F.struct("rank", "position")).alias("at")))
-    costs = with_keys(shown, "id", first.select("chunk_id")).select(F.col("id").alias("chunk_id"), estimate_tokens(F.col("text")).alias("cost"))
-    costed = first.join(costs, "chunk_id")
+    told = with_keys(tables["chunks"].select("id", "source_id", "text").where("text IS NOT NULL"), "id", first.select("chunk_id"))
+    told = told.groupBy("id").agg(F.max(F.struct("source_id", "text"))["text"].alias("text"))  # as texts has them, but of these only
+    costed = first.join(told.select(F.col("id").alias("chunk_id"), estimate_tokens(F.col("text")).alias("cost")), "chunk_id")
     cut = within_budget(costed, "qid", [F.col("at"), F.col("chunk_id")], "cost", budget).select("qid", F.col("chunk_id").alias("id"), "at")
     found = chunk_hits.where(F.col("rank") <= chunk_limit).select("qid", "id", "score", F.lit(0).alias("stage"), F.struct("rank", F.lit(0).alias("position")).alias("at"))
     more = cut.join(found.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(None).cast("double").alias("score"), F.lit(1).alias("stage"), "at")
